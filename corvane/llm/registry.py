@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .mixing import OP3_SQL, op3_mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_mixing": op3_mixing,
+        "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op3_mixing": OP3_SQL,
     }
