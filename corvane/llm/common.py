@@ -153,3 +153,75 @@ def run_hashes(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         out *= base
         out += rest[j : j + n]
     return mix(out)
+
+
+#: ASCII upper case to lower; every other byte stays.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes of letters and digits; bytes over 127 belong to letters of other scripts (or to rare signs, which count as such).
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[ord("a") : ord("z") + 1] = IS_LETTER[ord("A") : ord("Z") + 1] = IS_LETTER[128:] = True
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of true values, cut at row borders, and each row's first run (with one more at the end)."""
+    padded = np.zeros(len(inside) + 2, bool)
+    padded[1:-1] = inside
+    at = np.flatnonzero(padded[1:] != padded[:-1])
+    starts, ends = at[0::2], at[1::2]
+    seam = np.unique(offs[(offs > 0) & (offs < len(inside))])
+    both = seam[padded[seam] & padded[seam + 1]] if len(seam) else seam
+    if len(both):
+        starts, ends = np.sort(np.concatenate([starts, both])), np.sort(np.concatenate([ends, both]))
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Sum of each row's values; rows may be empty."""
+    out = np.zeros(len(offs) - 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    full = offs[1:] > offs[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, offs[:-1][full])
+    return out
+
+
+def sampled_ids(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most ``most`` ids of each group, spread by hash: the least hash of each of ``most`` buckets.
+
+    rows: id, and the group's column.  Combines on the map side; no group is gathered.
+    """
+    from pyspark.sql import functions as F
+
+    h = F.xxhash64("id")
+    return rows.filter("id IS NOT NULL").groupBy(group, F.pmod(h, F.lit(most)).alias("bucket")).agg(F.min_by("id", h).alias("id")).select("id", group)
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, group: str, most_rows: int) -> list[tuple[str, object]]:
+    """(text, group value) of the sampled ids, on the driver, in order of id.  docs: id, text.  Stops if there are over most_rows."""
+    from pyspark.sql import functions as F
+
+    held = ids.limit(most_rows + 1).collect()
+    if len(held) > most_rows:
+        raise ValueError(f"the sample has over {most_rows} rows: {group} has too many values")
+    if not held:
+        return []
+    small = docs.sparkSession.createDataFrame(held, ids.schema)
+    got = docs.join(F.broadcast(small), "id").groupBy("id", group).agg(F.max("text").alias("text")).collect()
+    return [(r["text"] or "", r[group]) for r in sorted(got, key=lambda r: (r["id"], str(r[group])))]
+
+
+def offsets(totals: DataFrame, keys: list[str], index: str, values: dict[str, str], fan: int = 1024) -> DataFrame:
+    """For each (keys, index) the sums of ``values`` (column to name) over all smaller indices of the same keys.
+
+    Two levels, so that a key's totals are spread over tasks by ``fan`` of its indices.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = totals.withColumn("coarse", F.floor(F.col(index) / fan))
+    coarse = t.groupBy(*keys, "coarse").agg(*[F.sum(c).alias(f"c_{c}") for c in values])
+    over = Window.partitionBy(*keys).orderBy("coarse")
+    coarse = coarse.select(*keys, "coarse", *[(F.sum(f"c_{c}").over(over) - F.col(f"c_{c}")).alias(f"b_{c}") for c in values])
+    within = Window.partitionBy(*keys, "coarse").orderBy(index)
+    fine = t.select(*keys, "coarse", index, *[(F.sum(c).over(within) - F.col(c)).alias(f"a_{c}") for c in values])
+    return fine.join(coarse, [*keys, "coarse"]).select(*keys, index, *[(F.col(f"a_{c}") + F.col(f"b_{c}")).alias(name) for c, name in values.items()])

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language import op4_language
 from .mixing import OP3_SQL, op3_mixing
+from .quality import op2_quality
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality": op2_quality,
         "op3_mixing": op3_mixing,
+        "op4_language": op4_language,
+        "op5_toxicity": op5_toxicity,
         "op10_bpe": op10_bpe,
     }
 
