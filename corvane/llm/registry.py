@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .chat import OP6_SQL, op6_chat
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op4_language
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op2_quality
+from .topk import OP7_SQL, op7_topk
 from .toxicity import op5_toxicity
 
 
@@ -17,6 +19,8 @@ def queries() -> dict:
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
+        "op6_chat": op6_chat,
+        "op7_topk": op7_topk,
         "op10_bpe": op10_bpe,
     }
 
@@ -25,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op3_mixing": OP3_SQL,
+        "op6_chat": OP6_SQL,
+        "op7_topk": OP7_SQL,
     }
