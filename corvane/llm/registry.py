@@ -8,6 +8,7 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op4_language
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op2_quality
+from .substrings import op9_substrings
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op5_toxicity
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_chat": op6_chat,
         "op7_topk": op7_topk,
+        "op9_substrings": op9_substrings,
         "op10_bpe": op10_bpe,
     }
 
