@@ -9,8 +9,10 @@ two different texts never fall together:
 3. the at most ``salts`` winners of each content meet globally.
 
 Only DataFrame functions are used.  Text is shuffled twice; the decision goes
-back to the rows over a join on digest and a second hash.  Should two contents
-share both, the job stops with an error instead of merging them.
+back to the rows over a join on digest and a second hash, salted for groups
+that hold a thousandth of all rows or more (there are a thousand at most, so
+their list may be broadcast).  Should two contents share both hashes, the job
+stops with an error instead of merging them.
 
 Defined results: null text counts as empty; empty texts are equal to each
 other; a null doc_id loses every tie and is reported as null; rows repeating a
@@ -24,10 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 DELETED = " \t\n\x0b\x0c\r"
 #: Orders (code points descending, doc_id ascending, null doc_id last) as one number that hash aggregation can hold.
 _STEP = 2**65
+#: Groups with at least a HOT-th of all rows are spread over SPREAD salts when decisions go back to rows.
+HOT, SPREAD = 1000, 64
 _TOP = 2**63
 
 
@@ -68,7 +74,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256, carry: bool = False) -> DataFrame:
     """Every row's decision: doc_id, keep_id, group_size, kept, digest; with ``carry`` the whole input row as ``row`` too."""
-    groups = exact_groups(docs, id_col, text_col, salts, digest)
+    groups = staged(exact_groups(docs, id_col, text_col, salts, digest), "groups")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # at most HOT groups can hold a HOT-th of all rows each; their rows and winners meet on SPREAD salts
+    hot = groups.filter((F.col("group_size") * HOT >= total) & (F.col("group_size") > 1)).select("digest", "check", F.lit(SPREAD).alias("spread"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     rows = rows.withColumn("clean", normalised(F.col("text")))
     rows = rows.select(
@@ -78,7 +87,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _standing(F.col("doc_id"), F.char_length(F.coalesce("text", F.lit("")))).alias("own"),
         *(["row"] if carry else []),
     )
-    out = rows.join(groups, ["digest", "check"])
+    rows = rows.join(F.broadcast(hot), ["digest", "check"], "left")
+    rows = rows.withColumn("salt", F.when(F.col("spread").isNotNull(), F.pmod(F.xxhash64("doc_id", "own"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")).drop("spread")
+    groups = groups.join(F.broadcast(hot), ["digest", "check"], "left")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+    out = rows.join(groups, ["digest", "check", "salt"])
     return out.select("doc_id", _winner(F.col("standing")).alias("keep_id"), "group_size", (F.col("own") == F.col("standing")).alias("kept"), "digest", *(["row"] if carry else []))
 
 
