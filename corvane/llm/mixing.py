@@ -27,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import offsets, staged
 
 #: Words a slot takes.
 BLOCK = 64
 #: Documents in one bucket of a source's shuffled order, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 #: Slots in one chunk of the schedule.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: The golden ratio's fraction as a whole number of PERIOD-ths.
 PERIOD, GOLDEN, CELLS = 1_000_000_000, 618_033_989, 1_000
 BROADCAST_SOURCES = 10_000
@@ -77,9 +77,8 @@ def schedule(spark, targets: DataFrame, slots: int, small: bool) -> DataFrame:
     points = points.withColumn("cell", F.floor(F.col("x") / width))
     dealt = points.join(hint(cells), "cell").filter("x >= lo AND x < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = dealt.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("offset"))
     inner = dealt.withColumn("place", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1)
-    return inner.join(offsets, ["sid", "chunk"]).select("slot", "sid", (F.col("offset") + F.col("place")).alias("rank"))
+    return inner.join(offsets(counts, ["sid"], "chunk", {"n": "offset"}), ["sid", "chunk"]).select("slot", "sid", (F.col("offset") + F.col("place")).alias("rank"))
 
 
 def laid_out(sizes: DataFrame, targets: DataFrame, rows: int, small: bool, seed: str) -> DataFrame:
@@ -93,9 +92,7 @@ def laid_out(sizes: DataFrame, targets: DataFrame, rows: int, small: bool, seed:
     w = Window.partitionBy("sid", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     inner = d.withColumn("at", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(w))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy("sid").orderBy("bucket")
-    offsets = sums.select("sid", "bucket", (F.sum("s").over(over) - F.col("s")).alias("s0"), (F.sum("n").over(over) - F.col("n")).alias("n0"))
-    return inner.join(offsets, ["sid", "bucket"]).select(
+    return inner.join(offsets(sums, ["sid"], "bucket", {"s": "s0", "n": "n0"}), ["sid", "bucket"]).select(
         "doc_id", "source", "size", "sid", "source_size", "target", "quota", (F.col("at") + F.col("s0")).alias("start"), (F.col("nth") + F.col("n0")).alias("pos")
     )
 
