@@ -100,12 +100,12 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0] :], offs - offs[0]
 
 
-def slices(batch, column: str, most: int = 4 << 20):
-    """Cuts an Arrow batch into runs of rows with about ``most`` bytes of text, one row at least."""
+def slices(batch, column: str, most: int = 4 << 20, rows: int = 1 << 14):
+    """Cuts an Arrow batch into runs of at most ``rows`` rows with about ``most`` bytes of text, one row at least."""
     _, offs = text_bytes(batch.column(column))
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 

@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .chat import OP6_SQL, op6_chat
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op4_language
+from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op2_quality
 from .substrings import op9_substrings
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_chat": op6_chat,
         "op7_topk": op7_topk,
+        "op8_minhash": op8_minhash,
         "op9_substrings": op9_substrings,
         "op10_bpe": op10_bpe,
     }
