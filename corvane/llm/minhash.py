@@ -316,6 +316,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select(F.col("id").alias("doc_id"), "t1", "t2", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that stay (one document of each component), with all their columns."""
+    kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("kept").select(F.col("doc_id").alias("id"), "t1", "t2")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = rows["u1"].eqNullSafe(kept["t1"]) & rows["u2"].eqNullSafe(kept["t2"]) & rows["own"].eqNullSafe(kept["id"])
+    return rows.join(kept, same, "left_semi").select("row.*")
+
+
 # -- registered query -----------------------------------------------------------
 
 

@@ -93,18 +93,18 @@ def laid_out(sizes: DataFrame, targets: DataFrame, rows: int, small: bool, seed:
     inner = d.withColumn("at", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(w))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     return inner.join(offsets(sums, ["sid"], "bucket", {"s": "s0", "n": "n0"}), ["sid", "bucket"]).select(
-        "doc_id", "source", "size", "sid", "source_size", "target", "quota", (F.col("at") + F.col("s0")).alias("start"), (F.col("nth") + F.col("n0")).alias("pos")
+        "doc_id", "source", "t1", "size", "sid", "source_size", "target", "quota", (F.col("at") + F.col("s0")).alias("start"), (F.col("nth") + F.col("n0")).alias("pos")
     )
 
 
 def blocks(places: DataFrame, block: int = BLOCK, cap: int = 3) -> DataFrame:
-    """sid, block, pos, words: which words of which document each block of a source's stream holds."""
+    """sid, block, pos, words, first: how many words of which document each block of a source's stream holds, and whether its first is among them."""
     d = places.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
     d = d.withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size"))
     d = d.withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("b > a")
     d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     words = F.least("b", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
-    return d.select("sid", "block", "pos", words.cast("long").alias("words"))
+    return d.select("sid", "block", "pos", words.cast("long").alias("words"), (F.floor(F.col("a") / block) == F.col("block")).alias("first"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, cap: int = 3, seed: str = "mix:") -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,8 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = 3, seed: str = "mix:") -
     ``docs`` has doc_id, source and text.
     """
     spark = docs.sparkSession
-    sizes = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
+    text = F.col("text").cast("string")
+    sizes = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("t1"), word_count(text).alias("size")), "sizes")
     rows, total, sources = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.approx_count_distinct("source") + 1).first()
     small = sources <= BROADCAST_SOURCES
     targets = staged(source_targets(sizes, total, cap), "targets")
@@ -132,6 +133,21 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def repeated_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
+    """docs, each row as often as the mix begins its document; texts stay whole.
+
+    Rows that agree in doc_id, source and text share their number evenly.
+    """
+    places, taken = mix(docs, cap=cap, **how)
+    # a document is begun once for every block that holds its first word
+    begun = taken.filter("first").groupBy("sid", "pos").agg(F.count(F.lit(1)).alias("times"))
+    times = places.join(begun, ["sid", "pos"], "left").groupBy("doc_id", "source", "t1").agg(F.round(F.sum(F.coalesce("times", F.lit(0))) / F.count(F.lit(1))).cast("int").alias("times"))
+    times = times.filter("times > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "t1", "times")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("source").cast("string").alias("src"), F.xxhash64(F.col("text").cast("string")).alias("u1"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = rows["u1"].eqNullSafe(times["t1"]) & rows["own"].eqNullSafe(times["id"]) & rows["src"].eqNullSafe(times["of"])
+    return rows.join(times, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+
+
 # -- registered query -----------------------------------------------------------
 
 
