@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 #: How surely a term must be tied to the label to become active, in standard deviations.
 TIED = 5.0
 #: How many times as frequent it must be among one label's texts as among the other's.
-APART = 4.0
+APART = 2.0
 
 
 def terms(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
