@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix, run_hashes, ship, slices, staged, text_bytes, word_hashes, words
 
 ROWS, BITS, MISS, SIGMAS = 5, 4, 1e-6, 5.0
-SMALL, BLOCK = 8, 256
+SMALL, BLOCK = 8, 512
 _FIELDS = 64 // BITS
 
 
@@ -277,7 +277,8 @@ def links(classes: DataFrame, sets, percent: int) -> DataFrame:
     as_member = rows.withColumn("mb", nth("mbs")).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sbs") - 1))).withColumn("stray", F.lit(False))
     as_stray = rows.filter("label <> main").withColumn("sb", nth("sbs")).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mbs") - 1))).withColumn("stray", F.lit(True))
     columns = ["bucket", "band", "sb", "mb", "stray", "label", "c"]
-    blocks = as_member.select(*columns).unionByName(as_stray.select(*columns)).join(classes.select("c", "bands", "sig"), "c").join(held, "c")
+    whole = staged(classes.select("c", "bands", "sig").join(held, "c").join(rows.select("c").distinct(), "c", "left_semi"), "whole")
+    blocks = as_member.select(*columns).unionByName(as_stray.select(*columns)).join(whole, "c")
     more = blocks.groupBy("bucket", "band", "sb", "mb").applyInPandas(_block_links(percent), "a binary, b binary")
     return found.unionByName(staged(more, "more"))
 
