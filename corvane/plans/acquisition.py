@@ -101,3 +101,28 @@ TERMINAL_STATES = {"success": "completed", "already_satisfied": "completed", "no
 def terminal_state(outcome: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in TERMINAL_STATES.items() for x in pair])
     return F.coalesce(F.element_at(known, outcome), F.lit("failed"))
+
+
+def recipes(items: DataFrame, hosts: dict[str, tuple[str, ...]]) -> DataFrame:
+    """items (platform, variant, url) with operation, allowed (its host is the provider's) and identity, a digest that shows no URL."""
+    from ..functions.urls import allowed_destination
+
+    allowed = F.lit(False)
+    for platform, names in hosts.items():
+        allowed = F.when(F.col("platform") == platform, allowed_destination(F.col("url"), names)).otherwise(allowed)
+    operation = F.when(F.col("variant").isin("primary", "original"), "media_original").when(F.col("variant") == "preview", "media_preview").otherwise("media_variant")
+    return items.withColumn("operation", operation).withColumn("allowed", allowed).withColumn("identity", digest(F.col("platform"), F.col("operation"), F.sha2("url", 256)))
+
+
+#: States that may follow a state (fixed values); what has ended stays as it is.
+FOLLOWS = {"planned": ("running", "excluded"), "running": ("completed", "failed", "interrupted", "deferred"), "interrupted": ("running",), "deferred": ("running",)}
+
+
+def bad_steps(log: DataFrame, keys: list[str], order: str, state: str = "state") -> DataFrame:
+    """Steps of a state log that its machine doesn't allow: keys, order, before, state."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    steps = log.withColumn("before", F.lag(state).over(w)).filter("before IS NOT NULL")
+    fine = F.lit(False)
+    for a, after in FOLLOWS.items():
+        fine = fine | ((F.col("before") == a) & F.col(state).isin(*after))
+    return steps.filter(~fine).select(*keys, order, "before", state)

@@ -46,3 +46,20 @@ def estimate(targets: DataFrame, tags: DataFrame, probes: DataFrame) -> DataFram
     j = targets.join(tags, "name", "left").join(probed, "target", "left")
     kept = F.col("post_count").isNotNull() & ~F.coalesce("aliased", F.lit(False))
     return j.select("target", F.when(kept, F.col("post_count")).otherwise(F.col("probed")).alias("count"), F.when(kept, "retained_tag").when(F.col("probed").isNotNull(), "probe").otherwise("unknown").alias("provenance"))
+
+
+def rendered_targets(targets: DataFrame, accounts: DataFrame, names: DataFrame, tags: DataFrame) -> DataFrame:
+    """targets (target, kind, id) -> target, rendered: an account's native id, an artist's current tag name, else its latest primary name.
+
+    accounts (id, native_id); names (id, name, observed_at, seq), primary ones; tags (id, name).
+    """
+    latest_name = names.groupBy("id").agg(F.max_by("name", F.struct("observed_at", "seq")).alias("primary"))
+    j = targets.join(accounts.select("id", "native_id"), "id", "left").join(latest_name, "id", "left").join(tags.select("id", F.col("name").alias("tag")), "id", "left")
+    return j.select("target", F.when(F.col("kind") == "account", F.col("native_id")).otherwise(F.coalesce("tag", "primary")).alias("rendered"))
+
+
+def drifted(projections: DataFrame, observations: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    """Keys whose current row isn't what their newest observation says."""
+    now = latest(observations, [key], order).select(key, F.struct(*columns).alias("seen"))
+    held = projections.select(key, F.struct(*columns).alias("held"))
+    return held.join(now, key, "left").filter(~F.col("held").eqNullSafe(F.col("seen"))).select(key)

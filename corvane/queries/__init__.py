@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import aggregates, columns, filters, joins, plans, sources, streams, windows  # noqa: F401
+    from . import aggregates, columns, filters, joins, more, plans, sources, streams, windows  # noqa: F401

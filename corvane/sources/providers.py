@@ -98,3 +98,11 @@ def listing(pages: DataFrame, boundary: int | None = None) -> DataFrame:
 def all_items(parts: dict[str, DataFrame], key: str = "post") -> DataFrame:
     """The tagged union of a normalised page: object_kind, native_id, data (JSON)."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("object_kind"), (F.col(key) if key in df.columns else F.col(df.columns[0])).alias("native_id"), F.to_json(F.struct(*df.columns)).alias("data")) for kind, df in parts.items()])
+
+
+def fixture_cases(suites: DataFrame) -> DataFrame:
+    """suites (json) -> provider, name, operation, status, body, expected (JSON)."""
+    e = suites.select(F.get_json_object("json", "$.manifest.provider").alias("provider"), F.from_json(F.get_json_object("json", "$.cases"), "array<string>").alias("cases"))
+    c = e.select("provider", F.explode("cases").alias("case"))
+    field = lambda p: F.get_json_object("case", f"$.{p}")
+    return c.select("provider", field("name").alias("name"), field("operation").alias("operation"), field("response.status_code").cast("int").alias("status"), field("response.body").alias("body"), field("expected").alias("expected"))
