@@ -19,6 +19,12 @@ def shared_folder(spark) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/corvane/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(df.sparkSession)}/corvane/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark) -> None:
+    """Removes all that this application has written here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corvane/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ from ..staging import shared_folder
 def ingested(stream: DataFrame, normalise, name: str) -> tuple[DataFrame, DataFrame]:
     """Runs a stream over all that is there now; (raw log, normalised log), each with its batch."""
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/corvane/{uuid.uuid4().hex}-{name}"
+    root = f"{shared_folder(spark)}/corvane/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
 
     def commit(batch: DataFrame, number: int) -> None:
         for kind, rows in (("raw", batch), ("items", normalise(batch))):

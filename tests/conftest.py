@@ -15,4 +15,7 @@ def spark(tmp_path_factory):
 
     session = local_session(4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    from corvane.staging import dropped
+
+    dropped(session)
