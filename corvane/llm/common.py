@@ -34,10 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and lost executors cost nothing.
 
-    The shuffle files behind the write are of no use afterwards and are released.
+    The shuffle files behind the write are of no use afterwards and are released.  The tables of an application lie
+    in one folder, named by its id, which ``drop_staged`` removes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     before = spark.conf.get(FILE_CLEANUP, None)
     with contextlib.suppress(Exception):
         spark.conf.set(FILE_CLEANUP, "true")
@@ -50,6 +51,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Removes all that this application has staged; results that haven't been written elsewhere are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when only the driver has it on its path (same file system)."""
     root = str(Path(__file__).resolve().parents[2])
