@@ -106,3 +106,44 @@ def fixture_cases(suites: DataFrame) -> DataFrame:
     c = e.select("provider", F.explode("cases").alias("case"))
     field = lambda p: F.get_json_object("case", f"$.{p}")
     return c.select("provider", field("name").alias("name"), field("operation").alias("operation"), field("response.status_code").cast("int").alias("status"), field("response.body").alias("body"), field("expected").alias("expected"))
+
+
+def attributions(pages: DataFrame) -> dict[str, DataFrame]:
+    """pages (body: one artist of a Danbooru-family site) -> attributions, names, urls; never an account."""
+    schema = "id bigint, name string, other_names array<string>, is_deleted boolean, urls array<struct<url: string, is_active: boolean>>"
+    p = pages.select(F.from_json("body", schema, {"mode": "FAILFAST"}).alias("p")).select("p.*").withColumn("artist", F.col("id").cast("string"))
+    names = F.concat(F.array(F.struct(F.lit("primary").alias("kind"), F.col("name").alias("name"))), F.transform(F.coalesce("other_names", F.array().cast("array<string>")), lambda n: F.struct(F.lit("other").alias("kind"), n.alias("name"))))
+    return {
+        "attributions": p.select("artist", "name", F.coalesce("is_deleted", F.lit(False)).alias("deleted")),
+        "names": p.select("artist", F.posexplode(names).alias("position", "n")).select("artist", "position", "n.kind", "n.name"),
+        "urls": p.select("artist", F.posexplode("urls").alias("position", "u")).select("artist", "position", "u.url", F.coalesce("u.is_active", F.lit(True)).alias("active")),
+    }
+
+
+#: Category numbers of tags (fixed values).
+CATEGORIES = {0: "general", 1: "artist", 2: "contributor", 3: "copyright", 4: "character", 5: "species", 6: "invalid", 7: "meta", 8: "lore"}
+
+
+def tag_records(pages: DataFrame) -> DataFrame:
+    """pages (body: one tag) -> tag, name, category, post_count, locked; an unknown category number has no label."""
+    p = pages.select(F.from_json("body", "id bigint, name string, category bigint, post_count bigint, is_locked boolean", {"mode": "FAILFAST"}).alias("p")).select("p.*")
+    labels = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
+    return p.select(F.concat(F.lit("tag:"), F.col("id").cast("string")).alias("tag"), "name", F.element_at(labels, F.col("category").cast("int")).alias("category"), "post_count", F.coalesce("is_locked", F.lit(False)).alias("locked"))
+
+
+def alias_records(pages: DataFrame) -> DataFrame:
+    """pages (body: one alias) -> alias_id, antecedent, consequent, status."""
+    p = pages.select(F.from_json("body", "id bigint, antecedent_name string, consequent_name string, status string", {"mode": "FAILFAST"}).alias("p")).select("p.*")
+    return p.select(F.col("id").alias("alias_id"), F.col("antecedent_name").alias("antecedent"), F.col("consequent_name").alias("consequent"), "status")
+
+
+def valid_shapes(pages: DataFrame) -> DataFrame:
+    """pages (body: one post) with valid: counts are whole and not negative, the score adds up, flags are booleans, pools are ids."""
+    v = F.try_parse_json("body")
+    number = lambda p: F.try_variant_get(v, p, "bigint")
+    whole = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "BIGINT", F.lit(False))
+    counts = whole("$.fav_count") & (number("$.fav_count") >= 0)
+    score = whole("$.score.total") & (number("$.score.up") + number("$.score.down") == number("$.score.total"))
+    flags = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.flags", "variant")).rlike(r"^OBJECT<(\w+: BOOLEAN(, )?)*>$"), F.lit(True))
+    pools = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.pools", "variant")).rlike(r"^ARRAY<(BIGINT|VOID)>$"), F.lit(True))
+    return pages.withColumn("valid", F.coalesce(counts & score & flags & pools, F.lit(False)))
