@@ -10,9 +10,9 @@ window whose word sequence also starts elsewhere are removed.
 * Index.  The fingerprints of a batch become an immutable run, sorted by hash,
   with a count for each.  A new batch is merge-joined with all runs; what it
   shares with them, or repeats itself, is reported.  Runs are compacted into
-  one when they are more than ``FAN``.
-* Verification.  All windows around reported anchors are hashed whole, twice
-  64 bits; a window counts as repeated only if that pair occurs again.
+  one when they are more than ``FAN``, or on demand.
+* Verification.  All windows around reported anchors are hashed whole, to 64
+  and 32 bits; a window counts as repeated only if that pair occurs again.
 
 Equal texts are one entry (two 64-bit hashes); if there are several of them
 and they have a window at all, all of their words are covered.  Counts, never
@@ -102,11 +102,10 @@ class FingerprintIndex:
         hits = new.filter("n > 1").select("h")
         for old in self.runs:
             hits = hits.unionByName(new.join(old.select("h"), "h").select("h"))
-        hits = staged(hits.distinct(), "hits") if self.runs else hits
         self.runs.append(new)
         if len(self.runs) > self.fan:
             self.compact()
-        return hits
+        return staged(hits.distinct(), "hits")
 
     def compact(self) -> None:
         """Merges all runs into one."""
@@ -142,10 +141,11 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 begin, row = begin[on], row[on]
                 if len(begin):
                     take = pa.array(row)
-                    w1, w2 = (run_hashes(hashes, window, seed)[begin].view(np.int64) for seed in (1, 2))
+                    w1 = run_hashes(hashes, window, 1)[begin].view(np.int64)
+                    w2 = (run_hashes(hashes, window, 2)[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), part.column("t1").take(take), part.column("t2").take(take), pa.array((begin - first[row]).astype(np.int32))], names=["w1", "w2", "t1", "t2", "start"])
 
-    return texts.select("t1", "t2", "text", "ats").mapInArrow(run, "w1 long, w2 long, t1 long, t2 long, start int")
+    return texts.select("t1", "t2", "text", "ats").mapInArrow(run, "w1 long, w2 int, t1 long, t2 long, start int")
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
@@ -156,13 +156,14 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, batches: int = 2) -
     for b in range(batches):  # as many batches as the caller has; each meets the runs of those before it
         new = index.add(prints.filter(F.col("batch") == b))
         hits = new if hits is None else hits.unionByName(new)
-    index.compact()
-    marks = prints.join(hits.distinct(), "h").groupBy("t1", "t2").agg(F.collect_set("at").alias("ats"))
+    # written, so that a join has shuffles on both sides and can split the rows of a frequent hash
+    hits = staged(hits.distinct(), "hits")
+    marks = prints.join(hits, "h").groupBy("t1", "t2").agg(F.collect_set("at").alias("ats"))
     texts = keyed.groupBy("t1", "t2").agg(F.min("text").alias("text"))
     held = texts.join(marks, ["t1", "t2"])
     # of several equal texts every window is repeated; their windows still tell of other texts'
     found = staged(_windows(held, window), "windows")
-    again = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    again = staged(found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"), "again")
     starts = found.join(again, ["w1", "w2"]).groupBy("t1", "t2").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     copies = keyed.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("t1", "t2", F.lit(True).alias("whole"))
     both = starts.join(copies, ["t1", "t2"], "full")
