@@ -6,10 +6,10 @@ from .bpe import op10_bpe
 from .chat import OP6_SQL, op6_chat
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op4_language
-from .minhash import op8_minhash
+from .minhash import OP8_SQL, op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op2_quality
-from .substrings import op9_substrings
+from .substrings import OP9_SQL, op9_substrings
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op5_toxicity
 
@@ -35,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": OP3_SQL,
         "op6_chat": OP6_SQL,
         "op7_topk": OP7_SQL,
+        "op8_minhash": OP8_SQL,
+        "op9_substrings": OP9_SQL,
     }

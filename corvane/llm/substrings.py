@@ -211,3 +211,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, dig
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35
+), h AS (
+  SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS m FROM s
+), d AS (
+  SELECT r, i FROM h JOIN (SELECT m FROM h GROUP BY m HAVING count(*) > 1) USING (m)
+), c AS (
+  SELECT DISTINCT r, i + o AS p FROM d, range(35) t(o)
+), x AS (
+  SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), k AS (
+  SELECT x.* FROM x ANTI JOIN c USING (r, p)
+), j AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM k GROUP BY r
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(j.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(j.kept, '')) AS kept_sha256
+FROM w LEFT JOIN j ON j.r = w.r
+"""
