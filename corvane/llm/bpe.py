@@ -8,8 +8,7 @@ one array of last tokens holds the encodings of all prefixes: appending bytes
 only adds entries, and after an edit only entries near it change.
 
 Texts are cut into pieces by the tokenizer's pattern.  A worker remembers the
-ids of the chunks it has met, up to a fixed number, and forgets them all when
-that is reached.
+ids of the chunks it has met lately, up to a fixed number.
 
 Defined results: null and empty texts have no ids; lone rows, repeated rows
 and null doc_ids are encoded like any other; an empty table gives an empty
@@ -31,7 +30,7 @@ from .common import ship, slices
 #: White space as tokenizer patterns mean it: the Unicode property White_Space (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Chunks and pieces that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -39,6 +38,9 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+END = 256
+
+
 class Vocabulary:
     """Token bytes and ids, and which pairs of tokens may stand side by side."""
 
@@ -68,6 +70,36 @@ class Vocabulary:
                     self._joins[l * self._size + r] = token
                     break
 
+        #: The tokens' bytes as nested maps; END holds the token that ends there.
+        self.tree: dict = {}
+        for token, i in self.ids.items():
+            node = self.tree
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[END] = i
+
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The last token of every prefix, from the front: when a place is reached its prefix is settled, and so are
+        the tokens that may begin there."""
+        tree, known, follows, size = self.tree, self._pairs.get, self.follows, self._size
+        last = [-1] * len(data)
+        for start in range(len(data)):
+            node, end, left = tree, start, (last[start - 1] * size if start else -1)
+            for byte in data[start : start + self.longest]:
+                node = node.get(byte)
+                if node is None:
+                    break
+                if last[end] < 0 and END in node:
+                    token = node[END]
+                    if left < 0:
+                        last[end] = token
+                    else:
+                        fits = known(left + token)
+                        if fits or fits is None and follows(left // size, token):
+                            last[end] = token
+                end += 1
+        return last
+
     def _apart(self, l: int, r: int) -> bool:
         """Do the merges leave l and r apart?  Undoes the later of their merges again and again; a merge over
         the seam that ranks before the undone one would have come first."""
@@ -98,31 +130,37 @@ class Prefixes:
     """The last token of every prefix of some bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data = vocabulary, b""
-        self.last: list[int] = []
-        self.append(data)
-
-    def _token(self, end: int) -> int:
-        v, data, last, get = self.vocabulary, self.data, self.last, self.vocabulary.ids.get
-        for start in range(max(0, end - v.longest), end):
-            token = get(data[start:end])
-            if token is not None and (not start or v.follows(last[start - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks single bytes")
+        self.vocabulary, self.data, self.last = vocabulary, data, vocabulary.last_tokens(data)
+
+    def _extend(self, stop: int):
+        """Adds the entries up to byte ``stop``, yielding each."""
+        v, data, last = self.vocabulary, self.data, self.last
+        get, known, follows, size, longest = v.ids.get, v._pairs.get, v.follows, v._size, v.longest
+        for end in range(len(last) + 1, stop + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    fits = known(last[start - 1] * size + token)
+                    if fits or fits is None and follows(last[start - 1], token):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+            last.append(token)
+            yield end, token
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+        for _ in self._extend(len(self.data)):
+            pass
 
     def edit(self, start: int, removed: int, inserted: bytes) -> int:
         """Replaces bytes; returns how many entries were worked out anew."""
         old, tail = self.last, start + removed
         self.data = self.data[:start] + inserted + self.data[tail:]
         shift, self.last, same = len(inserted) - removed, old[:start], 0
-        for end in range(start + 1, len(self.data) + 1):
-            token = self._token(end)
-            self.last.append(token)
+        for end, token in self._extend(len(self.data)):
             before = end - shift
             # entries depend on the bytes and entries of one token's length before them
             same = same + 1 if before > tail and old[before - 1] == token else 0
@@ -141,13 +179,19 @@ class Prefixes:
 
 
 class _Memory(dict):
+    """What ``make`` gave for keys met lately: a young half that fills up and the old half that it replaces then."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED // 2:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -164,7 +208,7 @@ class Encoder:
         self.doubtful = re.compile(r"\s (?:\s|\Z)").search
         self.piece = _Memory(self._piece)
         self.bare = _Memory(self._chunk)
-        self.spaced = _Memory(lambda chunk: self._chunk(" " + chunk))
+        self.spaced = _Memory(lambda chunk: self.piece[" " + chunk] if chunk.isalpha() else self._chunk(" " + chunk))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
