@@ -10,6 +10,8 @@ above is shared again by weight.
   schedule holds each source nearly in proportion.
 * The documents of a source are shuffled by a hash and laid end to end,
   ``cap`` times over; that stream is cut into blocks of ``block`` words.
+* Blocks that a source has beyond its slots there (the points' discrepancy, or
+  shares too small for a slot) follow in slots of their own, source by source.
 * The k-th slot of a source takes its k-th block, up to the source's target.
 
 Ranks and prefix sums are taken in two levels (inside a chunk, then over chunk
@@ -68,17 +70,25 @@ def source_targets(sizes: DataFrame, total: int, cap: int = 3) -> DataFrame:
     return s.select("sid", "source", "source_size", "target", "quota", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0)).alias("lo"), "hi")
 
 
-def schedule(spark, targets: DataFrame, slots: int, small: bool) -> DataFrame:
-    """slot, sid, rank: the sources in the order in which blocks are taken, and each slot's rank in its source."""
+def schedule(spark, targets: DataFrame, slots: int, small: bool, block: int = BLOCK) -> DataFrame:
+    """slot, sid, rank: the sources in the order in which blocks are taken, and each slot's rank in its source.
+
+    Every source has at least a slot for each block of its quota: those that ``slots`` points do not hold come after them.
+    """
     hint = F.broadcast if small else (lambda x: x)
     width = PERIOD // CELLS
     cells = targets.filter("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % PERIOD) * GOLDEN % PERIOD).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") / width))
     dealt = points.join(hint(cells), "cell").filter("x >= lo AND x < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    counts = dealt.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(dealt.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n")), "slots")
     inner = dealt.withColumn("place", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1)
-    return inner.join(offsets(counts, ["sid"], "chunk", {"n": "offset"}), ["sid", "chunk"]).select("slot", "sid", (F.col("offset") + F.col("place")).alias("rank"))
+    common = inner.join(offsets(counts, ["sid"], "chunk", {"n": "offset"}), ["sid", "chunk"]).select("slot", "sid", (F.col("offset") + F.col("place")).alias("rank"))
+    held = counts.groupBy("sid").agg(F.sum("n").alias("held"))
+    short = targets.join(held, "sid", "left").select("sid", F.coalesce("held", F.lit(0)).alias("held"), F.ceil(F.col("quota") / block).alias("n")).filter("held < n")
+    after = F.sum(F.col("n") - F.col("held")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rest = short.withColumn("after", after + slots).withColumn("rank", F.explode(F.sequence(F.col("held"), F.col("n") - 1)))
+    return common.unionByName(rest.select((F.col("after") + F.col("rank")).alias("slot"), "sid", "rank"))
 
 
 def laid_out(sizes: DataFrame, targets: DataFrame, rows: int, small: bool, seed: str) -> DataFrame:
@@ -120,7 +130,7 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = 3, seed: str = "mix:") -
     targets = staged(source_targets(sizes, total, cap), "targets")
     places = staged(laid_out(sizes, targets, rows, small, seed), "places")
     need = -(-total // block)
-    slots = schedule(spark, targets, need + need // 64 + 64 if total else 0, small)
+    slots = schedule(spark, targets, need + need // 64 + 64 if total else 0, small, block)
     taken = blocks(places, block, cap).join(slots.withColumnRenamed("rank", "block"), ["sid", "block"])
     return places, taken
 

@@ -223,6 +223,21 @@ def test_mix_again_and_whole(docs, empty):
     assert mixing.repeated_documents(docs).columns == docs.columns
 
 
+def test_mix_tiny_sources_beside_a_hot_one(spark):
+    tiny = [(i, f"{'a' if i % 2 else 'z'}{i:03}", " ".join(["w"] * (10 + i % 4 * 10))) for i in range(80)]
+    hot = [(1000 + i, "h", " ".join(["w"] * 200)) for i in range(150)]
+    got = mixing.mixed(spark.createDataFrame(tiny + hot, "doc_id long, source string, text string")).collect()
+    by = {}
+    for r in got:
+        by[r["source"]] = (r["target"], by.get(r["source"], (0, 0))[1] + r["taken"])
+    assert len(by) == 81 and all(abs(target - taken) <= 1 for target, taken in by.values())
+    targets = spark.createDataFrame([(1, 30, 0, 0), (2, 640, 0, 900_000_000), (3, 200, 900_000_000, 1_000_000_000)], "sid long, quota long, lo long, hi long")
+    slots = mixing.schedule(spark, targets, 11, True).collect()
+    ranks = {k: sorted(r["rank"] for r in slots if r["sid"] == k) for k in (1, 2, 3)}
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
+    assert all(v == list(range(len(v))) and len(v) >= n for (k, v), n in zip(sorted(ranks.items()), (1, 10, 4)))
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 1000), ("c", 10), (None, 500)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, 1511).collect()}
