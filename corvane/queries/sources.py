@@ -32,7 +32,7 @@ def _export(t):
     d = t.documents.select(
         "doc_id",
         F.to_json(F.struct(
-            F.col("doc_id").cast("string").alias("tweet_id"), F.substring("text", 1, 40).alias("full_text"), F.col("lang"), F.lit("Wed Aug 05 00:00:00 +0000 2026").alias("created_at"),
+            F.col("doc_id").cast("string").alias("tweet_id"), F.col("text").alias("full_text"), F.col("lang"), F.lit("Wed Aug 05 00:00:00 +0000 2026").alias("created_at"),
             F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") + 1).cast("string")).alias("in_reply_to_tweet_id"), F.array("source").alias("folders"),
             F.struct(F.col("source").alias("user_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("user_"), "source")).otherwise(F.lit("bob")).alias("screen_name")).alias("author"),
             F.array(F.struct(F.lit("photo").alias("type"), F.concat(F.lit("https://h/"), F.col("doc_id").cast("string")).alias("url"), F.col("n_chars").alias("width"))).alias("media"),

@@ -45,6 +45,15 @@ def test_query(spark, duck, name):
     assert a == b
 
 
+def test_bookmark_export_holds_whole_texts(spark):
+    from corvane.queries.sources import _export
+
+    t = catalog.Tables(spark, SF)
+    got = _export(t)["posts"].filter("observed_at IS NOT NULL").select("native_id", "text").collect()
+    want = t.documents.selectExpr("CAST(doc_id AS STRING)", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
