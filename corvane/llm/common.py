@@ -217,6 +217,13 @@ def sample_texts(docs: DataFrame, ids: DataFrame, group: str, most_rows: int) ->
     return [(r["text"] or "", r[group]) for r in sorted(got, key=lambda r: (r["id"], str(r[group])))]
 
 
+def row_hash(row: str = "row"):
+    """A hash of all fields of a struct, maps among them too: it orders rows that agree in all that a rule compares."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(F.to_json(row))
+
+
 def offsets(totals: DataFrame, keys: list[str], index: str, values: dict[str, str], fan: int = 1024) -> DataFrame:
     """For each (keys, index) the sums of ``values`` (column to name) over all smaller indices of the same keys.
 

@@ -16,9 +16,10 @@ stops with an error instead of merging them.
 
 Defined results: null text counts as empty; empty texts are equal to each
 other; a null doc_id loses every tie and is reported as null; rows repeating a
-doc_id are rows of their own and share the decision when they tie; an empty
-table gives an empty result; further columns, whatever their names, are
-carried through ``drop_exact_duplicates`` untouched.
+doc_id are rows of their own and share the decision when they tie, though of
+these ``drop_exact_duplicates`` returns a single one; an empty table gives an
+empty result; further columns, whatever their names, are carried through
+``drop_exact_duplicates`` untouched.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_hash, staged
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 DELETED = " \t\n\x0b\x0c\r"
@@ -73,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256, carry: bool = False) -> DataFrame:
-    """Every row's decision: doc_id, keep_id, group_size, kept, digest; with ``carry`` the whole input row as ``row`` too."""
+    """Every row's decision: doc_id, keep_id, group_size, kept, digest; with ``carry`` the whole input row as ``row`` too, and check and salt, which tied rows share."""
     groups = staged(exact_groups(docs, id_col, text_col, salts, digest), "groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     # at most HOT groups can hold a HOT-th of all rows each; their rows and winners meet on SPREAD salts
@@ -92,12 +93,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.join(F.broadcast(hot), ["digest", "check"], "left")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
     out = rows.join(groups, ["digest", "check", "salt"])
-    return out.select("doc_id", _winner(F.col("standing")).alias("keep_id"), "group_size", (F.col("own") == F.col("standing")).alias("kept"), "digest", *(["row"] if carry else []))
+    return out.select("doc_id", _winner(F.col("standing")).alias("keep_id"), "group_size", (F.col("own") == F.col("standing")).alias("kept"), "digest", *(["row", "check", "salt"] if carry else []))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    return exact_dedup(docs, id_col, text_col, salts, carry=True).filter("kept").select("row.*")
+    """The rows that stay, one of each content, with all their columns."""
+    kept = exact_dedup(docs, id_col, text_col, salts, carry=True).filter("kept")
+    # rows that tie agree in doc_id and length, so they lie on one salt, where the join has left them
+    tie = F.when(F.col("group_size") > 1, row_hash())
+    return kept.groupBy("digest", "check", "salt").agg(F.min_by("row", F.coalesce(tie, F.lit(0))).alias("row")).select("row.*")
 
 
 # -- registered query -----------------------------------------------------------

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, run_hashes, ship, slices, staged, text_bytes, word_hashes, words
+from .common import LOWER, mix, row_hash, run_hashes, ship, slices, staged, text_bytes, word_hashes, words
 
 ROWS, BITS, MISS, SIGMAS = 5, 4, 1e-6, 5.0
 SMALL, BLOCK = 8, 512
@@ -296,7 +296,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, t1, t2 (hashes of the text), n_shingles, component_id, kept."""
+    """docs (doc_id, text) -> doc_id, t1, t2 (hashes of the text), n_shingles, component_id, kept, label (of the component; null without shingles)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
     own = staged(signatures(keyed, k, percent), "signatures")
@@ -311,19 +311,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = components(links(classes, sets, percent))
     of_class = classes.select("c", "rep").join(labels, classes["c"] == labels["node"], "left").select("c", "rep", F.coalesce("label", "c").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(least, "label").select("c", "component_id")
+    of_class = of_class.join(least, "label").select("c", "component_id", "label")
     out = own.select("id", "t1", "t2", "c", "n").join(of_class, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), "t1", "t2", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "t1", "t2", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay (one document of each component), with all their columns."""
-    kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("kept").select(F.col("doc_id").alias("id"), "t1", "t2")
+    """The rows that stay, one of each component, with all their columns.
+
+    A component keeps its least doc_id; of several rows with that doc_id the one with the least hashes stays.  Rows
+    without shingles are components of their own, but for those that agree in doc_id and text.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("kept")
+    kept = kept.groupBy("label", F.col("doc_id").alias("id"), "t1", "t2").agg(F.count(F.lit(1)).alias("rows"))
+    one = kept.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("t1", "t2", "id", "rows")).alias("o")).select("o.*")
+    kept = one.unionByName(kept.filter("label IS NULL").drop("label"))
+    key = lambda c: [F.coalesce(c, F.lit(0)).alias("id0"), c.isNull().alias("unnamed")]
+    kept = kept.select("t1", "t2", *key(F.col("id")), "rows")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = rows["u1"].eqNullSafe(kept["t1"]) & rows["u2"].eqNullSafe(kept["t2"]) & rows["own"].eqNullSafe(kept["id"])
-    return rows.join(kept, same, "left_semi").select("row.*")
+    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), *key(F.col("doc_id").cast("long")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    on = ["t1", "t2", "id0", "unnamed"]
+    tie = F.when(F.col("rows") > 1, row_hash())
+    return rows.join(kept, on).groupBy(*on).agg(F.min_by("row", F.coalesce(tie, F.lit(0))).alias("row")).select("row.*")
 
 
 # -- registered query -----------------------------------------------------------

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, staged
+from .common import offsets, row_hash, staged
 
 #: Words a slot takes.
 BLOCK = 64
@@ -146,16 +146,20 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 def repeated_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
     """docs, each row as often as the mix begins its document; texts stay whole.
 
-    Rows that agree in doc_id, source and text share their number evenly.
+    Rows that agree in doc_id, source and text share their number: it is dealt to them one by one, by the hash of the row.
     """
     places, taken = mix(docs, cap=cap, **how)
     # a document is begun once for every block that holds its first word
     begun = taken.filter("first").groupBy("sid", "pos").agg(F.count(F.lit(1)).alias("times"))
-    times = places.join(begun, ["sid", "pos"], "left").groupBy("doc_id", "source", "t1").agg(F.round(F.sum(F.coalesce("times", F.lit(0))) / F.count(F.lit(1))).cast("int").alias("times"))
-    times = times.filter("times > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "t1", "times")
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("source").cast("string").alias("src"), F.xxhash64(F.col("text").cast("string")).alias("u1"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = rows["u1"].eqNullSafe(times["t1"]) & rows["own"].eqNullSafe(times["id"]) & rows["src"].eqNullSafe(times["of"])
-    return rows.join(times, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
+    times = places.join(begun, ["sid", "pos"], "left").groupBy("doc_id", "source", "t1").agg(F.sum(F.coalesce("times", F.lit(0))).alias("times"), F.count(F.lit(1)).alias("n")).filter("times > 0")
+    key = lambda i, s: [F.coalesce(i, F.lit(0)).alias("id0"), i.isNull().alias("unnamed"), F.coalesce(s, F.lit("")).alias("of"), s.isNull().alias("unsourced"), F.coalesce("t1", F.lit(0)).alias("t")]
+    times = times.select(*key(F.col("doc_id"), F.col("source")), "times", "n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("source").cast("string").alias("src"), F.xxhash64(F.col("text").cast("string")).alias("t1"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    on = ["id0", "unnamed", "of", "unsourced", "t"]
+    dealt = rows.select(*key(F.col("own"), F.col("src")), "row").join(times, on)
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(F.when(F.col("n") > 1, row_hash())))
+    own = F.floor(F.col("times") / F.col("n")) + (nth <= F.col("times") % F.col("n")).cast("int")
+    return dealt.select("row", own.cast("int").alias("own")).filter("own > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("own")))).select("row.*")
 
 
 # -- registered query -----------------------------------------------------------

@@ -238,6 +238,27 @@ def test_mix_tiny_sources_beside_a_hot_one(spark):
     assert all(v == list(range(len(v))) and len(v) >= n for (k, v), n in zip(sorted(ranks.items()), (1, 10, 4)))
 
 
+def test_one_of_repeated_rows(spark):
+    a, b = " ".join(f"v{i}" for i in range(40)), " ".join(f"w{i}" for i in range(40))
+    data = [(1, a, "x")] * 3 + [(1, a, "y"), (2, a, "x"), (None, b, "x"), (None, b, "x"), (3, None, "x"), (3, None, "x"), (4, "one two", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    ids = lambda out: sorted((r["doc_id"] for r in out.collect()), key=repr)
+    assert ids(exact_dedup.drop_exact_duplicates(df)) == [1, 3, 4, None]
+    near = df.unionByName(spark.createDataFrame([(1, a + " tail", "x"), (None, b + " tail", "x")], df.schema))
+    assert ids(minhash.drop_near_duplicates(near)) == [1, 3, 4, None]
+
+
+def test_mix_deals_to_repeated_rows(spark):
+    data = [(i, "w " * 30, s, k) for i in range(11) for s in "ab" for k in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, k int").repartition(4)
+    places, taken = mixing.mix(df)
+    begun = {(r["doc_id"], r["source"]): r["n"] for r in taken.filter("first").join(places, ["sid", "pos"]).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {}
+    for r in mixing.repeated_documents(df).collect():
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + 1
+    assert got == begun and any(n % 3 for n in begun.values())
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 1000), ("c", 10), (None, 500)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, 1511).collect()}
