@@ -204,12 +204,18 @@ def sampled_ids(rows: DataFrame, group: str, most: int) -> DataFrame:
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, group: str, most_rows: int) -> list[tuple[str, object]]:
-    """(text, group value) of the sampled ids, on the driver, in order of id.  docs: id, text.  Stops if there are over most_rows."""
+    """(text, group value) of the sampled ids, on the driver, in order of id.  docs: id, text.
+
+    If there are over most_rows, every group gives an even share of them, one id at least.
+    """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     held = ids.limit(most_rows + 1).collect()
     if len(held) > most_rows:
-        raise ValueError(f"the sample has over {most_rows} rows: {group} has too many values")
+        share = max(1, most_rows // ids.select(group).distinct().count())
+        nth = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("id"), "id"))
+        held = ids.withColumn("nth", nth).filter(F.col("nth") <= share).drop("nth").collect()
     if not held:
         return []
     small = docs.sparkSession.createDataFrame(held, ids.schema)

@@ -81,14 +81,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
     count = np.diff(first)
     order = np.argsort(-count, kind="stable")
     begin, count = first[:-1][order], count[order]
-    path = np.zeros(n, np.uint8)
+    kind = np.min_scalar_type(max(states - 1, 0))
+    path = np.zeros(n, kind)
     if not n:
         return path
-    come = np.zeros((n, states), np.uint8)
-    own = np.arange(states, dtype=np.uint8)
+    come = np.zeros((n, states), kind)
+    own = np.arange(states, dtype=kind)
     active = np.searchsorted(-count, -np.arange(int(count[0])), "left")  # rows with more than t words
     value = scores[begin[: active[0]]].copy()
-    finish = np.zeros(len(begin), np.uint8)
+    finish = np.zeros(len(begin), kind)
     for t in range(1, len(active)):
         a = active[t]
         if a < len(value):
@@ -98,7 +99,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
         best = value.argmax(1)
         top = value[np.arange(a), best] - penalty
         stay = value >= top[:, None]
-        come[at] = np.where(stay, own, best[:, None].astype(np.uint8))
+        come[at] = np.where(stay, own, best[:, None].astype(kind))
         value = np.where(stay, value, top[:, None]) + scores[at]
     finish[: len(value)] = value.argmax(1)
     state = finish

@@ -351,6 +351,20 @@ def test_viterbi_is_best_path():
             assert abs(value(list(path[a:b])) - best) < 1e-4
 
 
+def test_many_groups_share_the_sample(spark):
+    from corvane.llm.common import sample_texts
+
+    docs = spark.createDataFrame([(i, f"t{i}", f"g{i % 7}") for i in range(70)], "id long, text string, lang string")
+    got = sample_texts(docs.select("id", "text"), docs.select("id", "lang"), "lang", 30)
+    assert sorted(g for _, g in got) == sorted([f"g{k}" for k in range(7)] * 4)
+
+
+def test_viterbi_with_many_states():
+    s = np.zeros((3, 300), np.float32)
+    s[:, 290] = 9
+    assert list(language.viterbi(s, np.array([0, 3]), 2.0)) == [290] * 3
+
+
 def test_toxicity_learns_pairs(spark):
     rng = random.Random(9)
     data = []
