@@ -7,8 +7,9 @@ validly if the merges, applied to its bytes alone, give that pair back.  So
 one array of last tokens holds the encodings of all prefixes: appending bytes
 only adds entries, and after an edit only entries near it change.
 
-Texts are cut into pieces by the tokenizer's pattern.  A worker remembers the
-ids of the chunks it has met lately, up to a fixed number.
+Texts are cut into pieces by the tokenizer's pattern.  A task remembers the
+ids of the chunks it has met lately, within a fixed number of bytes; between
+tasks a worker keeps the vocabulary only.
 
 Defined results: null and empty texts have no ids; lone rows, repeated rows
 and null doc_ids are encoded like any other; an empty table gives an empty
@@ -29,8 +30,8 @@ from .common import ship, slices
 
 #: White space as tokenizer patterns mean it: the Unicode property White_Space (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Chunks and pieces that a worker remembers at most.
-REMEMBERED = 600_000
+#: Bytes, by a high estimate, that each of a task's memories holds at most, the longest chunk it holds, and pairs of tokens known at most.
+MEMORY, LONGEST, PAIRS = 64 << 20, 128, 100_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -120,11 +121,14 @@ class Vocabulary:
         key = l * self._size + r
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= REMEMBERED:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self._apart(l, r)
         return known
 
+    def forget(self) -> None:
+        self._pairs.clear()
+
 
 class Prefixes:
     """The last token of every prefix of some bytes."""
@@ -182,18 +186,25 @@ class _Memory(dict):
     """What ``make`` gave for keys met lately: a young half that fills up and the old half that it replaces then."""
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= REMEMBERED // 2:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= LONGEST:
+            # a dict's entry, a string and a tuple of numbers
+            self.held += 200 + len(key) + 8 * len(value)
+            if self.held > MEMORY // 2:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
 
 class Encoder:
     def __init__(self, raw: bytes, pattern: str):
@@ -208,7 +219,7 @@ class Encoder:
         self.doubtful = re.compile(r"\s (?:\s|\Z)").search
         self.piece = _Memory(self._piece)
         self.bare = _Memory(self._chunk)
-        self.spaced = _Memory(lambda chunk: self.piece[" " + chunk] if chunk.isalpha() else self._chunk(" " + chunk))
+        self.spaced = _Memory(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() else self._chunk(" " + chunk))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -232,6 +243,12 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Lets go of all but the vocabulary."""
+        for memory in (self.piece, self.bare, self.spaced):
+            memory.forget()
+        self.vocabulary.forget()
+
 
 _ENCODERS: dict[bytes, Encoder] = {}
 
@@ -254,9 +271,12 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> D
 
     def run(batches):
         own = encoder(raw, pattern)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(own, part.column("text").to_pylist())], names=[f.split()[0] for f in schema.split(", ")])
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(own, part.column("text").to_pylist())], names=[f.split()[0] for f in schema.split(", ")])
+        finally:
+            own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,9 +23,11 @@ FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only in local mode where that is unset."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(held)
         held = spark.sparkContext.getCheckpointDir()
@@ -83,14 +86,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
-_POWERS = powers(BASE, 1 << 12)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def power_table(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = powers(BASE, 1 << int(n - 1).bit_length())
-    return _POWERS
+def power_table(n: int, base: int = BASE) -> np.ndarray:
+    """base**0 and on, n values at least; short tables are kept."""
+    if n > len(_POWERS.get(base, ())):
+        table = powers(base, max(1 << 12, 1 << int(n - 1).bit_length()))
+        if n > 1 << 12:
+            return table
+        _POWERS[base] = table
+    return _POWERS[base]
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +113,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0] :], offs - offs[0]
 
 
-def slices(batch, column: str, most: int = 4 << 20, rows: int = 1 << 14):
+def slices(batch, column: str, most: int = 1 << 20, rows: int = 1 << 12):
     """Cuts an Arrow batch into runs of at most ``rows`` rows with about ``most`` bytes of text, one row at least."""
     _, offs = text_bytes(batch.column(column))
     i, n = 0, len(offs) - 1
@@ -134,18 +140,39 @@ def words(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, worked out in blocks of about a megabyte of them."""
     size = ends - starts
-    power = power_table(int(size.max()) + 1)
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, size)
-    take = place + np.repeat(starts, size)
-    value = (body[take].astype(np.uint64) + np.uint64(1)) * power[place]
-    return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+    upto = np.cumsum(size)
+    out = np.empty(len(starts), np.uint64)
+    base = BASE ^ (seed * 0x2545F4914F6CDD1D) | 1
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + (1 << 20), "right")))
+        own = size[a:b]
+        power = power_table(int(own.max()) + 1, base)
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(first, own)
+        value = (body[place + np.repeat(starts[a:b], own)].astype(np.uint64) + np.uint64(1)) * power[place]
+        out[a:b] = mix(np.add.reduceat(value, first) + own.astype(np.uint64))
+        a = b
+    return out
+
+
+def coded_words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A number for each word, equal for equal words only, and its 64-bit hash for each seed.  All bytes but spaces belong to words."""
+    import pyarrow as pa
+
+    if not len(starts):
+        return np.zeros(0, np.int32), [np.zeros(0, np.uint64) for _ in seeds]
+    edges = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=edges[1:])
+    packed = np.ascontiguousarray(body[~IS_SPACE[body]])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(packed)]).dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+    chars = np.frombuffer(words.buffers()[2], np.uint8, at[-1])
+    return codes, [word_hashes(chars, at[:-1], at[1:], seed)[codes] for seed in seeds]
 
 
 def run_hashes(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
