@@ -463,5 +463,21 @@ def test_top_k(spark):
 def test_top_k_edges(spark):
     none = spark.createDataFrame([], "id long, vector array<double>")
     assert topk.top_k(none, none).count() == 0
-    two = spark.createDataFrame([(0, [1.0]), (7, [1e30])], "id long, vector array<double>")
-    assert rows(topk.top_k(two.filter("id = 0"), two)) == [(0, 1, 7, 256 * topk.BOUND)]
+    two = spark.createDataFrame([(0, [1.0]), (0, [None]), (0, [float("nan")]), (7, [1e30])], "id long, vector array<double>")
+    assert rows(topk.top_k(two.filter("id = 0"), two)) == [(0, 1, 7, 2**63 - 1)]
+
+
+def test_top_k_of_large_components(spark):
+    import math
+
+    rng = random.Random(14)
+    data = [(i, [rng.choice([1, -1]) * rng.random() * 10 ** rng.choice([0, 6, 6, 9, 17]) for _ in range(3)]) for i in range(1, 200)]
+    data += [(250 + i, [300000.0 + i * 100000, 0.0, 0.0]) for i in range(2)] + [(300 + i, [(-1) ** i * 1e30 * (i + 1), 1e306, 0.5]) for i in range(4)]
+    data += [(0, [1.0, 0.0, 0.0]), (350, [1e30, -1e6, 2.0])]
+    exact = {i: [int(x) * 256 if abs(x) > 2**60 else math.floor(x * 256) for x in v] for i, v in data}
+    want = []
+    for q in (q for q in exact if q % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:5]
+        want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(data, "id long, vector array<double>").repartition(3)
+    assert rows(topk.top_k(df.filter("id % 50 = 0"), df, 5)) == sorted(want, key=repr)
