@@ -3,11 +3,14 @@ r"""Chat formatting in budgeted windows.
 A conversation becomes windows of whole turns.  Prefix sums of turn tokens
 choose the spans: a turn belongs to the span in which its tokens begin, spans
 being ``stride`` tokens long, and a turn longer than that is a span of its own.
-So the new turns of a window have under ``2 * stride`` tokens, unless it is one
-long turn.  A window that doesn't begin the conversation first repeats its
-system turn and up to ``HISTORY_TURNS`` turns before the span, as long as these
-have ``history`` tokens at most.  Loss falls on assistant turns, each in the
-one window where it is new: repeated targets are masked.
+So the new turns of a window have under ``2 * stride = budget - history``
+tokens, unless it is one long turn.  A window that doesn't begin the conversation
+first repeats its system turn, then up to ``HISTORY_TURNS`` turns before the
+span, as long as these have ``history`` tokens at most and the whole window
+stays within ``budget``: what doesn't fit into that is left out whole.  So
+only a single turn longer than the budget exceeds it, and nothing stands beside
+it.  Loss falls on assistant turns, each in the one window where it is new:
+repeated targets are masked.
 
 The template is ``<turn N ROLE>TEXT</turn>`` and a line feed, ``<again N ROLE>``
 for repeated turns.  In texts ``\`` becomes ``\b`` and ``<`` becomes ``\l`` (in
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import offsets, staged
 from .mixing import word_count
 
-#: Tokens of a window's new and repeated turns; of these, for history; turns repeated at most; tokens of a turn's marks.
+#: Tokens of a window, repeated turns among them; of these, for history; turns repeated at most; tokens of a turn's marks.
 BUDGET, HISTORY, HISTORY_TURNS, MARKS = 1024, 256, 2, 4
 #: Turn numbers in a chunk.
 CHUNK = 64
@@ -81,32 +84,36 @@ def numbered(turns: DataFrame, stride: int) -> DataFrame:
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, first (its first new turn), text, loss (array of start and length in characters), new_tokens.
+    """conv_id, first (its first new turn), text, loss (array of start and length in characters), new_tokens, tokens (of all its turns).
 
     ``turns`` has conv_id, turn, role and text.
     """
     stride = max(1, (budget - history) // 2)
     t = staged(numbered(turns, stride), "turns")
     span = ["key", "seg", "cell"]
-    heads = t.groupBy(*span).agg(F.min("idx").alias("first")).filter("first > 0")
+    # what the new turns leave of the budget goes to the system turn first
+    heads = t.groupBy(*span).agg(F.min("idx").alias("first"), F.sum("tokens").alias("own")).filter("first > 0").select(*span, "first", (F.lit(budget) - F.col("own")).alias("room"))
     old = t.select("key", F.col("idx").alias("at"), F.col("role").alias("r"), F.col("text").alias("x"), F.col("tokens").alias("t"))
-    system = old.filter("at = 0 AND r = 'system'").select("key", F.lit(-1).cast("long").alias("ord"), F.col("at").alias("idx"), F.col("r").alias("role"), F.col("x").alias("text"))
-    retained = heads.join(system, "key")
-    back = heads.withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(HISTORY_TURNS)))).withColumn("at", F.col("first") - F.col("back"))
+    system = old.filter("at = 0 AND r = 'system'").drop("at", "r")
+    heads = heads.join(system, "key", "left").withColumn("retained", F.coalesce(F.col("t") <= F.col("room"), F.lit(False)))
+    heads = heads.withColumn("x", F.when(F.col("retained"), F.col("x")))
+    heads = staged(heads.withColumn("room", F.when(F.col("retained"), F.col("room") - F.col("t")).otherwise(F.col("room"))), "heads")
+    retained = heads.filter("retained").select(*span, F.lit(-1).cast("long").alias("ord"), F.lit(0).cast("long").alias("idx"), F.lit("system").alias("role"), F.col("x").alias("text"), F.col("t").alias("tokens"))
+    back = heads.select(*span, "first", "room", F.explode(F.sequence(F.lit(1), F.lit(HISTORY_TURNS))).alias("back")).withColumn("at", F.col("first") - F.col("back"))
     back = back.join(old, ["key", "at"]).filter("NOT (at = 0 AND r = 'system')")
-    room = Window.partitionBy(*span).orderBy("back").rowsBetween(Window.unboundedPreceding, 0)
-    back = back.withColumn("used", F.sum("t").over(room)).filter(F.col("used") <= history)
+    so_far = Window.partitionBy(*span).orderBy("back").rowsBetween(Window.unboundedPreceding, 0)
+    back = back.withColumn("used", F.sum("t").over(so_far)).filter(F.col("used") <= F.least(F.lit(history), F.col("room")))
     piece = lambda mark: F.concat(F.lit(f"<{mark} "), F.col("idx").cast("string"), F.lit(" "), escape_role(F.col("role")), F.lit(">"))
     new = t.select(*span, F.col("idx").alias("ord"), F.lit(False).alias("again"), "idx", "role", "text", "tokens")
-    again = retained.select(*span, "ord", F.lit(True).alias("again"), "idx", "role", "text", F.lit(0).cast("long").alias("tokens")).unionByName(
-        back.select(*span, F.col("at").alias("ord"), F.lit(True).alias("again"), F.col("at").alias("idx"), F.col("r").alias("role"), F.col("x").alias("text"), F.lit(0).cast("long").alias("tokens"))
+    again = retained.select(*span, "ord", F.lit(True).alias("again"), "idx", "role", "text", "tokens").unionByName(
+        back.select(*span, F.col("at").alias("ord"), F.lit(True).alias("again"), F.col("at").alias("idx"), F.col("r").alias("role"), F.col("x").alias("text"), F.col("t").alias("tokens"))
     )
     pieces = new.unionByName(again)
     pieces = pieces.withColumn("head", F.when(F.col("again"), piece("again")).otherwise(piece("turn"))).withColumn("body", escape(F.col("text")))
     pieces = pieces.select(
         *span, F.struct("ord", "again", "idx", F.concat("head", "body", F.lit("</turn>\n")).alias("s"), F.length("head").alias("h"), F.length("body").alias("b"), (~F.col("again") & (F.col("role") == "assistant")).alias("target")).alias("p"), "again", "idx", "tokens"
     )
-    w = pieces.groupBy(*span).agg(F.array_sort(F.collect_list("p")).alias("ps"), F.min(F.when(~F.col("again"), F.col("idx"))).alias("first"), F.sum("tokens").alias("new_tokens"))
+    w = pieces.groupBy(*span).agg(F.array_sort(F.collect_list("p")).alias("ps"), F.min(F.when(~F.col("again"), F.col("idx"))).alias("first"), F.sum(F.when(F.col("again"), 0).otherwise(F.col("tokens"))).alias("new_tokens"), F.sum("tokens").alias("tokens"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     step = lambda a, p: F.struct(
         (a["at"] + F.length(p["s"])).alias("at"),
@@ -118,6 +125,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("text"),
         F.aggregate("ps", zero, step, lambda a: a["spans"]).alias("loss"),
         "new_tokens",
+        "tokens",
     )
 
 
@@ -175,15 +183,17 @@ WITH c AS (
          + length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, '>', ''))
          + length(CAST(idx AS VARCHAR)) AS own
   FROM n
+), g AS (
+  SELECT conv_id, seg, cell, min(idx) AS first, 1024 - sum(tokens) AS room FROM s GROUP BY ALL HAVING min(idx) > 0
 ), h AS (
-  SELECT conv_id, seg, cell, min(idx) AS first FROM s GROUP BY ALL HAVING min(idx) > 0
+  SELECT g.*, y.own AS system_own, room - coalesce(y.tokens, 0) AS rest FROM g LEFT JOIN s y ON y.conv_id = g.conv_id AND y.idx = 0 AND y.role = 'system' AND y.tokens <= g.room
 ), again AS (
-  SELECT h.conv_id, s.own FROM h JOIN s ON s.conv_id = h.conv_id AND s.idx = 0 AND s.role = 'system'
+  SELECT conv_id, system_own AS own FROM h WHERE system_own IS NOT NULL
   UNION ALL
-  SELECT h.conv_id, a.own FROM h JOIN s a ON a.conv_id = h.conv_id AND a.idx = h.first - 1 AND NOT (a.idx = 0 AND a.role = 'system') AND a.tokens <= 256
+  SELECT h.conv_id, a.own FROM h JOIN s a ON a.conv_id = h.conv_id AND a.idx = h.first - 1 AND NOT (a.idx = 0 AND a.role = 'system') AND a.tokens <= least(256, rest)
   UNION ALL
   SELECT h.conv_id, b.own FROM h JOIN s a ON a.conv_id = h.conv_id AND a.idx = h.first - 1 JOIN s b ON b.conv_id = h.conv_id AND b.idx = h.first - 2
-  WHERE NOT (b.idx = 0 AND b.role = 'system') AND a.tokens + b.tokens <= 256
+  WHERE NOT (b.idx = 0 AND b.role = 'system') AND a.tokens + b.tokens <= least(256, rest)
 ), extra AS (
   SELECT conv_id, sum(own + 17) AS chars FROM again GROUP BY conv_id
 )

@@ -406,7 +406,7 @@ def conversations():
     out = [(None, 0, "user", "q"), (1, None, "assistant", None), (1, 0, None, "x"), (1, 0, None, "x"), (2, 0, "sys>tem\\", chat.TRAP)]
     for c in range(3, 9):
         system = c % 2
-        out += [(c, 0, "system", "be\nkind <turn 0 user>")] * system
+        out += [(c, 0, "system", "be\nkind <turn 0 user>" + " rule" * {5: 600, 7: 3000}.get(c, 0))] * system
         for i in range(rng.randrange(1, 40)):
             out.append((c, i + system, ["user", "assistant"][i % 2], " ".join(["tok\\l<"] * rng.choice([0, 3, 40, 90, 500]))))
     return out
@@ -424,11 +424,16 @@ def test_chat(spark):
         own = sorted((r for r in back if r["conv_id"] == c), key=lambda r: r["first"])
         assert [tuple(t) for r in own for t in r["turns"]] == turns
         assert [t for r in own for t in r["targets"]] == [t for role, t in turns if role == "assistant"]
+    count = lambda text: len(text.encode().split()) + chat.MARKS
     for r in w.collect():
-        new = chat.read_back(w.filter(F.col("conv_id").eqNullSafe(F.lit(r["conv_id"])) & (F.col("first") == r["first"]))).first()["turns"] if r["first"] < 2 else []
-        assert r["new_tokens"] <= 768 or r["text"].count("<turn ") == 1, new
-        if r["conv_id"] in (3, 5, 7) and r["first"]:
-            assert r["text"].startswith("<again 0 system>")
+        turns = re.findall(r"<(turn|again) (\d+) ([^>]*)>(.*?)</turn>\n", r["text"], re.S)
+        held = truth[r["conv_id"]]
+        assert all(held[int(i)][1] == t.replace("\\l", "<").replace("\\b", "\\") for _, i, _, t in turns)
+        tokens = [count(held[int(i)][1]) for _, i, _, _ in turns]
+        new = sum(n for n, t in zip(tokens, turns) if t[0] == "turn")
+        assert r["tokens"] == sum(tokens) and r["new_tokens"] == new and (r["tokens"] <= chat.BUDGET or len(turns) == 1)
+        if r["first"] and held[0][0] == "system":  # retained wherever it fits
+            assert (turns[0][:2] == ("again", "0")) == (new + count(held[0][1]) <= chat.BUDGET)
 
 
 def test_chat_empty(spark):
