@@ -13,13 +13,15 @@ above is shared again by weight.
 * Blocks that a source has beyond its slots there (the points' discrepancy, or
   shares too small for a slot) follow in slots of their own, source by source.
 * The k-th slot of a source takes its k-th block, up to the source's target.
+  So the schedule says at which slot of the mix each block of words is taken.
 
 Ranks and prefix sums are taken in two levels (inside a chunk, then over chunk
 totals), so no task sees a whole source.  Only DataFrame functions are used.
 What reaches the driver are three numbers.  The source table (one row per
 source) is broadcast only while it has at most ``BROADCAST_SOURCES`` rows.
 
-Defined results: null text has size 0 and takes nothing; a null source is a
+Defined results: null text has size 0, takes nothing and has no slot; a document of size 0
+is no part of a mix, so ``repeated_documents`` leaves it out; a null source is a
 source of its own, last in order; null and repeated doc_ids are rows like
 any other; an empty table, or one without words, gives targets of 0.
 """
@@ -108,17 +110,17 @@ def laid_out(sizes: DataFrame, targets: DataFrame, rows: int, small: bool, seed:
 
 
 def blocks(places: DataFrame, block: int = BLOCK, cap: int = 3) -> DataFrame:
-    """sid, block, pos, words, first: how many words of which document each block of a source's stream holds, and whether its first is among them."""
+    """sid, block, pos, at, words, first: how many words of which document each block of a source's stream holds from which on, and whether its first is among them."""
     d = places.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
     d = d.withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size"))
     d = d.withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("b > a")
     d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     words = F.least("b", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
-    return d.select("sid", "block", "pos", words.cast("long").alias("words"), (F.floor(F.col("a") / block) == F.col("block")).alias("first"))
+    return d.select("sid", "block", "pos", F.greatest("a", F.col("block") * block).alias("at"), words.cast("long").alias("words"), (F.floor(F.col("a") / block) == F.col("block")).alias("first"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, cap: int = 3, seed: str = "mix:") -> tuple[DataFrame, DataFrame]:
-    """(places, taken): every document with its place and its source's target, and the words taken by (sid, pos).
+    """(places, taken): every document with its place and its source's target, and the words taken by (slot, sid, pos).
 
     ``docs`` has doc_id, source and text.
     """
@@ -136,11 +138,19 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = 3, seed: str = "mix:") -
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
+    """doc_id, source, size, source_size, target, taken (words the mix takes of it, repeats counted), slots (how often it is begun: the slots)."""
     places, taken = mix(docs, **how)
-    sums = taken.groupBy("sid", "pos").agg(F.sum("words").alias("taken"))
+    sums = taken.groupBy("sid", "pos").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.when(F.col("first"), F.col("slot")))).alias("slots"))
     out = places.join(sums, ["sid", "pos"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"))
+
+
+def in_order(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: slot, nth (in the slot), doc_id, source, words, sorted by slot; a slot holds the words of one block of one source."""
+    places, taken = mix(docs, **how)
+    nth = F.row_number().over(Window.partitionBy("slot").orderBy("at")) - 1
+    held = taken.withColumn("nth", nth).join(places.select("sid", "pos", "doc_id", "source"), ["sid", "pos"])
+    return held.select("slot", "nth", "doc_id", "source", "words").orderBy("slot", "nth")
 
 
 def repeated_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
@@ -167,7 +177,7 @@ def repeated_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("slots").cast("array<string>"), " ").alias("slots"))
 
 
 OP3_SQL = r"""
@@ -188,14 +198,30 @@ WITH RECURSIVE d AS (
               ELSE CAST(total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0) AS DOUBLE) * w / sum(CASE WHEN full_ THEN 0 ELSE w END) OVER () END AS target
   FROM r WHERE step = 40
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, round(f.target, 6) AS target,
+  SELECT t.sid, row_number() OVER () AS r, d.doc_id, d.size, t.source_size, round(f.target, 6) AS target,
          sum(d.size) OVER (PARTITION BY t.sid ORDER BY md5('mix:' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS a,
          floor(round(f.target, 6)) AS q
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN f USING (sid)
+), u AS (
+  SELECT sid, least(floor(sum(round(f.target, 6)) OVER (ORDER BY sid) / greatest(total, 1) * 1000000000), 1000000000) AS hi, floor(round(f.target, 6)) AS q, total FROM f JOIN t USING (sid)
+), v AS (
+  SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, (SELECT ceil(max(total) / 64) + floor(ceil(max(total) / 64) / 64) + 64 FROM t) AS slots FROM u
+), x AS (
+  SELECT i AS slot, sid, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank
+  FROM (SELECT unnest(range(CAST((SELECT max(slots) FROM v) AS BIGINT))) AS i) JOIN v ON (i % 1000000000) * 618033989 % 1000000000 >= lo AND (i % 1000000000) * 618033989 % 1000000000 < hi
+), y AS (
+  SELECT v.sid, slots, ceil(q / 64) AS n, count(x.slot) AS held FROM v LEFT JOIN x USING (sid) GROUP BY ALL HAVING count(x.slot) < ceil(q / 64)
+), z AS (
+  SELECT slot, sid, rank FROM x UNION ALL
+  SELECT slots + after + k, sid, held + k FROM (SELECT *, sum(n - held) OVER (ORDER BY sid) - (n - held) AS after, unnest(range(CAST(n - held AS BIGINT))) AS k FROM y)
+), b AS (
+  SELECT p.r, string_agg(CAST(CAST(z.slot AS BIGINT) AS VARCHAR), ' ' ORDER BY z.slot) AS slots
+  FROM p, range(3) e(epoch), z
+  WHERE p.size > 0 AND a + epoch * source_size < q AND z.sid = p.sid AND z.rank = floor((a + epoch * source_size) / 64) GROUP BY p.r
 )
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, coalesce(slots, '') AS slots,
        CAST(greatest(0, least(a + size, q) - a)
           + greatest(0, least(a + source_size + size, q) - a - source_size)
           + greatest(0, least(a + 2 * source_size + size, q) - a - 2 * source_size) AS BIGINT) AS taken
-FROM p
+FROM p LEFT JOIN b USING (r)
 """

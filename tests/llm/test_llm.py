@@ -223,6 +223,31 @@ def test_mix_again_and_whole(docs, empty):
     assert mixing.repeated_documents(docs).columns == docs.columns
 
 
+def test_mix_in_order(docs):
+    """Each source's stream, cut into blocks, is taken block by block in the schedule's order."""
+    by = {(r["doc_id"], r["size"]): r for r in mixing.mixed(docs.filter("doc_id > 9")).collect()}
+    got = mixing.in_order(docs.filter("doc_id > 9")).collect()
+    assert [(r["slot"], r["nth"]) for r in got] == sorted((r["slot"], r["nth"]) for r in got)
+    assert sum(r["words"] for r in got) == sum(r["taken"] for r in by.values())
+    taken, slots, share = {}, {}, {}
+    for r in got:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
+        slots.setdefault(r["slot"], [set(), 0])
+        slots[r["slot"]][0].add(r["source"])
+        slots[r["slot"]][1] += r["words"]
+    assert all(taken.get(i, 0) == r["taken"] for (i, _), r in by.items())
+    assert all(len(s) == 1 and n <= mixing.BLOCK for s, n in slots.values())
+    for r in by.values():
+        assert all(s in slots for s in r["slots"]) and len(r["slots"]) <= 3 and bool(r["slots"]) <= (r["taken"] > 0)
+        share[r["source"]] = r["target"]
+    total, seen = sum(share.values()), dict.fromkeys(share, 0)
+    last = max(s for s, (_, n) in slots.items() if n == mixing.BLOCK)
+    for n, slot in enumerate(sorted(s for s in slots if s <= last), 1):  # every beginning of the mix is in proportion
+        (source,) = slots[slot][0]
+        seen[source] += 1
+        assert abs(seen[source] - n * share[source] / total) < 3
+
+
 def test_mix_tiny_sources_beside_a_hot_one(spark):
     tiny = [(i, f"{'a' if i % 2 else 'z'}{i:03}", " ".join(["w"] * (10 + i % 4 * 10))) for i in range(80)]
     hot = [(1000 + i, "h", " ".join(["w"] * 200)) for i in range(150)]
