@@ -3,14 +3,16 @@
 A text's terms are its words (ASCII case folded) and their four- and five-byte
 beginnings, hashed.  The machine scores the terms present:
 w0 + sum w[i] + sum over pairs <v[i], v[j]>, so two terms may weigh more
-together than apart (an insult with the mention of a group).  Only terms that
-the sample ties to the label are active; clean texts have few or none.
+together than apart (an insult with the mention of a group).  Active are terms
+that the sample ties to the label, alone or in a pair with another frequent
+term (so terms that tell something together only take part too); clean texts
+have few or none.
 
 Fitted on the driver on at most ``PER_LABEL`` texts of each label and
 ``MOST_ROWS`` in all (documented bounds); every text is scored whole.
 
 Defined results: null and empty texts have no terms and get the score of the
-bias; null labels are not learnt from; without both labels all scores are 0
+bias; labels that are null or neither 0 nor 1 are not learnt from; without both labels all scores are 0
 (or 1, if all labels are 1); several labels of a document are learnt from one
 by one; an empty table gives an empty result.
 """
@@ -30,6 +32,8 @@ THRESHOLD = 0.7
 TIED = 5.0
 #: How many times as frequent it must be among one label's texts as among the other's.
 APART = 2.0
+#: Terms among which pairs are looked at, the most frequent ones, and how surely a pair must be tied to the label.
+PAIRED, PAIR_TIED = 1024, 8.0
 
 
 def terms(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +71,32 @@ def score(row: np.ndarray, term: np.ndarray, n: int, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
+def tied_pairs(own: list[np.ndarray], y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose meeting, beyond what either term alone makes likely, differs between the labels."""
+    usual = np.argsort(-seen.sum(0), kind="stable")[:PAIRED]
+    usual = usual[seen.sum(0)[usual] >= max(8, len(y) // 200)]
+    at = np.full(seen.shape[1], -1, np.int32)
+    at[usual] = np.arange(len(usual))
+    held = np.zeros((len(y), len(usual)), np.float32)
+    for i, t in enumerate(own):
+        held[i, at[t[at[t] >= 0]]] = 1
+    beyond, noise = [], []
+    for label in (0, 1):
+        x = held[y == label]
+        n, p = len(x), x.mean(0)
+        beyond.append(x.T @ x / n - p[:, None] * p[None, :])
+        spread = p * (1 - p) + 1 / (4 * n)
+        noise.append(spread[:, None] * spread[None, :] / n)
+    z = np.abs(beyond[1] - beyond[0]) / np.sqrt(noise[0] + noise[1])
+    np.fill_diagonal(z, 0)
+    # long texts bring frequent words together whatever the label: what most pairs of a term share is no tie
+    if len(z):
+        z = z / np.maximum(1, np.quantile(z, 0.25, axis=1) / 0.32)[:, None]
+    best = np.minimum(z, z.T).max(axis=1, initial=0)
+    found = np.argsort(-best, kind="stable")
+    return usual[found[best[found] >= PAIR_TIED]]
+
+
 def train(samples: list[tuple[str, object]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-5) -> dict:
     """{"slots": active number of each hash or -1, "w0", "w", "v"}; Adagrad on the likelihood, labels weighing alike."""
     y = np.array([float(int(label)) for _, label in samples])
@@ -89,6 +119,8 @@ def train(samples: list[tuple[str, object]], rounds: int = 200, rate: float = 0.
     z[(ratio < APART) & (ratio > 1 / APART)] = 0  # frequent words, which only tell that a text is long
     tied = np.argsort(-np.abs(z), kind="stable")[:ACTIVE]
     tied = tied[np.abs(z[tied]) >= TIED]
+    together = tied_pairs(own, y, seen)
+    tied = np.r_[tied, together[~np.isin(together, tied)]][:ACTIVE]
     slots[tied] = np.arange(len(tied))
     row = np.concatenate([np.full(len(t), i) for i, t in enumerate(own)])
     term = slots[np.concatenate(own)].astype(np.int64)
@@ -130,7 +162,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_rows: int = MOST_ROWS) -> dict:
     """A model from docs (id, text) and labels (id, label)."""
-    ids = sampled_ids(labels.filter("label IS NOT NULL"), "label", per_label)
+    ids = sampled_ids(labels.filter("label IN (0, 1)"), "label", per_label)
     return train(sample_texts(docs, ids, "label", most_rows))
 
 

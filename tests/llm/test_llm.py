@@ -407,6 +407,27 @@ def test_toxicity_learns_pairs(spark):
     assert set(r["score"] > 0.99 for r in toxicity.scored(df, toxicity.train([("x", 1)])).collect()) == {True}
 
 
+def test_toxicity_learns_terms_that_tell_only_together(spark):
+    """The label is exactly one of two terms: neither tells anything alone."""
+    rng = random.Random(15)
+    data = []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"w{rng.randrange(200)}" for _ in range(20)] + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(w)
+        data.append((i, " ".join(w), int(a != b)))
+    model = toxicity.train([(t, y) for _, t, y in data[:2000]])
+    got = {r["id"]: r["score"] for r in toxicity.scored(spark.createDataFrame([(i, t) for i, t, _ in data[2000:]], "id long, text string"), model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in data[2000:]]) > 0.95
+
+
+def test_toxicity_learns_from_known_labels_only(spark):
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(40)], "id long, text string")
+    labels = spark.createDataFrame([(i, [0, 1, -1, 2, None][i % 5]) for i in range(40)], "id long, label int")
+    model = toxicity.fit(docs, labels)
+    assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, model).collect())
+
+
 def test_quality_orders_grades(spark):
     rng = random.Random(10)
     good = lambda: " ".join(rng.choice(["plain", "words", "here"]) for _ in range(40))
