@@ -1,7 +1,9 @@
 """Near-duplicate groups by b-bit MinHash.
 
-A document is the set of its distinct runs of ``k`` words (ASCII case folded).
-Equal sets form one class; what follows is about classes.
+A document is the set of its distinct runs of ``k`` words (ASCII case folded);
+they are told apart by their words, and so set sizes are exact.  Equal sets
+(128 bits over their runs' 64-bit hashes) form one class; what follows is about
+classes.
 
 * Signatures.  Minima under ``ROWS * bands`` hash functions; the bands' hashes
   give candidates, and of each minimum only ``BITS`` low bits are kept, packed
@@ -11,13 +13,18 @@ Equal sets form one class; what follows is about classes.
   in a larger one each class pairs with the bucket's first class only.
 * Estimate.  The share of equal signature fields, corrected for chance
   (2**-BITS), must come within ``SIGMAS`` standard deviations of the threshold.
-* Confirmation on the full sets, then components of the links by smallest label.
+* Confirmation on the full sets of word runs, taken from the texts, then
+  components of the links by smallest label.
 * Large buckets whose classes are not yet one component: every class outside
   the bucket's main component meets every class of the bucket, in blocks of
   about ``BLOCK`` by ``BLOCK``; a block skips pairs that are connected already
   and sends links that connect something only.  A pair meets in the first band
   that it shares.  So no link between components is lost, and no pairs are
-  listed inside one.
+  listed inside one.  Blocks compare sets of hashes; what they send is confirmed
+  on the words like any other pair, and a contradiction stops the job.
+
+What belongs to a bucket or a node comes back to its members by joins of
+written tables, whose shuffles adaptive execution may split for a hot key.
 
 Links, components and fingerprints stay distributed; the driver sees counts.
 
@@ -35,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, row_hash, run_hashes, ship, slices, staged, text_bytes, word_hashes, words
+from .common import LOWER, coded_words, mix, row_hash, run_hashes, ship, slices, staged, text_bytes, words
 
 ROWS, BITS, MISS, SIGMAS = 5, 4, 1e-6, 5.0
 SMALL, BLOCK = 8, 512
@@ -48,29 +55,42 @@ def band_count(percent: int) -> int:
 
 
 def shingles(body: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of all distinct runs of k words, by row and hash; a shorter text is one run."""
+    """(row, hash) of all distinct runs of k words, by row; a shorter text is one run.  Runs are equal if their words are."""
+    body = LOWER[body]
     starts, ends, first = words(body, offs)
-    hashes = word_hashes(LOWER[body], starts, ends)
+    codes, (hashes,) = coded_words(body, starts, ends)
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
-    rows, out = [], []
+    rows, out, places = [], [], []
     n = len(hashes) - k + 1
     if n > 0:
         at = np.flatnonzero(row[:n] == row[k - 1 :])
         rows.append(row[at])
         out.append(run_hashes(hashes, k)[at])
+        places.append(at)
     for c in range(1, k):
         short = np.flatnonzero(count == c)
         if len(short):
             rows.append(short)
             out.append(run_hashes(hashes, c, seed=100 + c)[first[short]])
+            places.append(first[short])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rows, out = np.concatenate(rows).astype(np.uint64), np.concatenate(out)
-    bits = np.uint64(64 - max(1, int(len(count) - 1).bit_length()))
-    key = np.unique((rows << bits) | (out >> (np.uint64(64) - bits)))
-    # 48 hash bits for every row, however many rows (2**14 at most) share a batch
-    return (key >> bits).astype(np.int64), (key & ((np.uint64(1) << bits) - np.uint64(1))) >> (bits - np.uint64(48))
+    rows, out, places = np.concatenate(rows), np.concatenate(out), np.concatenate(places)
+    bits = np.uint64(max(1, int(len(count) - 1).bit_length()))
+    order = np.argsort((rows.astype(np.uint64) << (np.uint64(64) - bits)) | (out >> bits))
+    rows, out, places = rows[order], out[order], places[order]
+    same = np.flatnonzero((rows[1:] == rows[:-1]) & (out[1:] == out[:-1]))
+    # a row's runs have one length, so a lone run has nothing to be equal to
+    if all((codes[places[same] + j] == codes[places[same + 1] + j]).all() for j in range(k)):
+        new = np.ones(len(rows), bool)
+        new[same + 1] = False
+        return rows[new], out[new]
+    seen: dict[tuple, int] = {}  # two runs share a hash: told apart one by one
+    for i, (r, p) in enumerate(zip(rows.tolist(), places.tolist())):
+        seen.setdefault((r, *codes[p : p + k].tolist()), i)
+    kept = np.array(list(seen.values()))
+    return rows[kept], out[kept]
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -132,7 +152,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, k: int) -> DataFrame:
-    """texts (c, text) -> c, items (the set's hashes, ascending, 8 bytes each)."""
+    """texts (c, text) -> c, items (the hashes of the set's runs, 8 bytes each)."""
     import pyarrow as pa
 
     def run(batches):
@@ -140,19 +160,22 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text"):
                 row, h = shingles(*text_bytes(part.column("text")), k)
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1))
-                h = np.ascontiguousarray(h)
-                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["c", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array([np.sort(h[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["c", "items"])
 
     return texts.select("c", "text").mapInArrow(run, "c binary, items binary")
 
 
-def similar(a: bytes, b: bytes, percent: int) -> bool:
-    """100 * intersection >= percent * union, of two full sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+def word_runs(text: str, k: int) -> set[tuple[bytes, ...]]:
+    own = text.encode().lower().split()  # of bytes: lower() folds A-Z, split() parts at [\x20\x09-\x0D]
+    return set(zip(*(own[i:] for i in range(k)))) if len(own) >= k else {tuple(own)} if own else set()
+
+
+def similar(a: set, b: set, percent: int) -> bool:
+    """100 * intersection >= percent * union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def least_estimate(percent: int) -> float:
@@ -193,22 +216,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """For one block of a large bucket: the links that connect something, each confirmed on full sets."""
-    import pandas as pd
+    """For one block of a large bucket: the links that connect something, by their sets' hashes."""
+    import pyarrow as pa
+    import pyarrow.compute
 
     least, perms, chance = least_estimate(percent), ROWS * band_count(percent), 2.0**-BITS
     ones = np.uint64(sum(1 << (BITS * i) for i in range(_FIELDS)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = int(pdf["band"].iloc[0])
-        stray, member = pdf[pdf["stray"]], pdf[~pdf["stray"]]
+    def run(block: pa.Table) -> pa.Table:
+        band = block.column("band")[0].as_py()
+        on = block.column("stray")
+        stray, member = block.filter(on), block.filter(pa.compute.invert(on))
         out = []
         if len(stray) and len(member):
-            sig = [np.stack(list(x["sig"])).view(np.uint64) for x in (stray, member)]
-            bands = [np.stack(list(x["bands"])) for x in (stray, member)]
-            sets = [[np.frombuffer(s, np.uint64) for s in x["items"]] for x in (stray, member)]
+            wide = lambda x, c: x.column(c).combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+            sig = [wide(x, "sig").view(np.uint64) for x in (stray, member)]
+            bands = [wide(x, "bands") for x in (stray, member)]
+            sets = [[np.frombuffer(s, np.uint64) for s in x.column("items").to_pylist()] for x in (stray, member)]
             sizes = np.array([len(s) for s in sets[1]])
-            keys = [list(x["c"]) for x in (stray, member)]
+            keys = [x.column("c").to_pylist() for x in (stray, member)]
             root = {}
 
             def find(x):
@@ -216,7 +242,7 @@ def _block_links(percent: int):
                     x = root[x]
                 return x
 
-            labels = [list(x["label"]) for x in (stray, member)]
+            labels = [x.column("label").to_pylist() for x in (stray, member)]
             for i in range(len(stray)):
                 x = sig[1] ^ sig[0][i]
                 z = x.copy()
@@ -240,30 +266,28 @@ def _block_links(percent: int):
                     if a != b:
                         root[max(a, b)] = min(a, b)
                         out.append((keys[0][i], keys[1][j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
-def links(classes: DataFrame, sets, percent: int) -> DataFrame:
+def links(classes: DataFrame, texts, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that give the right components.
 
-    classes: c, bands, sig; sets: a function from a DataFrame of c to a DataFrame of c, items.
+    classes: c, bands, sig; texts: a function from a DataFrame of c to a DataFrame of c, text.
     """
     ship(classes.sparkSession)
     in_band = classes.select("c", F.posexplode("bands").alias("band", "bucket"))
-    counts = in_band.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    counts = staged(in_band.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lead")).filter("m > 1"), "counts")
     members = staged(in_band.join(counts, ["bucket", "band"]), "members")
-    held = staged(sets(members.select("c").distinct()), "sets")
+    held = staged(texts(members.select("c").distinct()), "texts")
     small = members.filter(F.col("m") <= SMALL)
     pairs = small.select("bucket", "band", F.col("c").alias("a")).join(small.select("bucket", "band", F.col("c").alias("b")), ["bucket", "band"]).filter("a < b").select("a", "b")
     large = members.filter(F.col("m") > SMALL)
-    lead = large.groupBy("bucket", "band").agg(F.min("c").alias("a"))
-    pairs = pairs.unionByName(large.join(lead, ["bucket", "band"]).filter("a < c").select("a", F.col("c").alias("b"))).distinct()
+    pairs = pairs.unionByName(large.filter("lead < c").select(F.col("lead").alias("a"), F.col("c").alias("b"))).distinct()
     sig = lambda name: classes.select(F.col("c").alias(name), F.col("sig").alias(f"sig_{name}"))
     near = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(_estimate(F.col("sig_a"), F.col("sig_b"), percent) >= least_estimate(percent)).select("a", "b")
-    items = lambda name: held.select(F.col("c").alias(name), F.col("items").alias(f"items_{name}"))
-    found = staged(_confirmed(staged(near, "near").join(items("a"), "a").join(items("b"), "b"), percent), "links")
+    found = staged(_confirmed(staged(near, "near"), held, k, percent), "links")
     if not large.limit(1).count():
         return found
     labels = components(found)
@@ -271,28 +295,40 @@ def links(classes: DataFrame, sets, percent: int) -> DataFrame:
     placed = staged(placed, "placed")
     shares = placed.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"))
     split = shares.groupBy("bucket", "band").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("all")).filter("labels > 1")
-    split = split.select("bucket", "band", F.col("main.label").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("sbs"), F.ceil(F.col("all") / BLOCK).alias("mbs"))
+    split = staged(split.select("bucket", "band", F.col("main.label").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("sbs"), F.ceil(F.col("all") / BLOCK).alias("mbs")), "split")
     rows = placed.join(split, ["bucket", "band"])
     nth = lambda of: F.pmod(F.xxhash64("c"), F.col(of))
     as_member = rows.withColumn("mb", nth("mbs")).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sbs") - 1))).withColumn("stray", F.lit(False))
     as_stray = rows.filter("label <> main").withColumn("sb", nth("sbs")).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mbs") - 1))).withColumn("stray", F.lit(True))
     columns = ["bucket", "band", "sb", "mb", "stray", "label", "c"]
-    whole = staged(classes.select("c", "bands", "sig").join(held, "c").join(rows.select("c").distinct(), "c", "left_semi"), "whole")
+    own = staged(rows.select("c").distinct(), "unlike")
+    sets = full_sets(held.join(own, "c", "left_semi"), k)
+    whole = staged(classes.select("c", "bands", "sig").join(sets, "c"), "whole")
     blocks = as_member.select(*columns).unionByName(as_stray.select(*columns)).join(whole, "c")
-    more = blocks.groupBy("bucket", "band", "sb", "mb").applyInPandas(_block_links(percent), "a binary, b binary")
-    return found.unionByName(staged(more, "more"))
+    more = staged(blocks.groupBy("bucket", "band", "sb", "mb").applyInArrow(_block_links(percent), "a binary, b binary").distinct(), "more")
+    return found.unionByName(staged(_confirmed(more, held, k, percent, sure=True), "confirmed"))
 
 
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, sure: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets, taken from texts (c, text), are similar; if ``sure``, one that is not stops the job."""
     import pyarrow as pa
 
     def run(batches):
+        last: tuple[str, set] = ("", set())
         for batch in batches:
-            on = [similar(a, b, percent) for a, b in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist())]
-            part = batch.filter(pa.array(on, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
+            for part in slices(batch, "text_a"):
+                on = []
+                for a, b in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
+                    if last[0] != b:  # rows come sorted by b
+                        last = (b, word_runs(b, k))
+                    on.append(similar(word_runs(a, k), last[1], percent))
+                if sure and not all(on):
+                    raise ValueError("two different word runs share a hash")
+                kept = part.filter(pa.array(on, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, "a binary, b binary")
+    of = lambda name: texts.select(F.col("c").alias(name), F.col("text").alias(f"text_{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,12 +339,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = own.filter("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.min(F.struct("t1", "t2")).alias("t"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = staged(classes.select("c", "rep", "t.t1", "t.t2", "bands", "sig"), "classes")
 
-    def sets(wanted: DataFrame) -> DataFrame:
+    def texts(wanted: DataFrame) -> DataFrame:
         of = classes.join(wanted, "c", "left_semi").select("c", "t1", "t2")
-        texts = keyed.groupBy("t1", "t2").agg(F.min("text").alias("text"))
-        return full_sets(texts.join(of, ["t1", "t2"]), k)
+        return keyed.groupBy("t1", "t2").agg(F.min("text").alias("text")).join(of, ["t1", "t2"]).select("c", "text")
 
-    labels = components(links(classes, sets, percent))
+    labels = components(links(classes, texts, k, percent))
     of_class = classes.select("c", "rep").join(labels, classes["c"] == labels["node"], "left").select("c", "rep", F.coalesce("label", "c").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "label").select("c", "component_id", "label")

@@ -141,6 +141,16 @@ def test_near_duplicates_edges(empty, docs):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_runs_that_share_a_hash_are_told_apart(monkeypatch):
+    text = b"a b c d a b c  e f g"
+    body, offs = np.frombuffer(text + b"x y", np.uint8), np.array([0, len(text), len(text) + 3])
+    row, _ = minhash.shingles(body, offs, 3)
+    assert list(np.bincount(row)) == [7, 1]
+    monkeypatch.setattr(minhash, "run_hashes", lambda h, k, seed=0: np.zeros(len(h) - k + 1, np.uint64))
+    row, _ = minhash.shingles(body, offs, 3)
+    assert list(np.bincount(row)) == [7, 1]
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     import pyarrow as pa
