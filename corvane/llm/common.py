@@ -34,23 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and lost executors cost nothing.
-
-    The shuffle files behind the write are of no use afterwards and are released.  The tables of an application lie
-    in one folder, named by its id, which ``drop_staged`` removes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """The shuffle files behind what is written inside are of no use afterwards and are released."""
     before = spark.conf.get(FILE_CLEANUP, None)
     with contextlib.suppress(Exception):
         spark.conf.set(FILE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         with contextlib.suppress(Exception):
             spark.conf.set(FILE_CLEANUP, before) if before is not None else spark.conf.unset(FILE_CLEANUP)
-    gc.collect()
+        gc.collect()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; those of an application lie in one folder, named by its id, which ``drop_staged`` removes."""
+    return f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (in folders by the last column, if named) and reads it back: the lineage ends there and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = own_folder(spark, name)
+    with released(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -195,19 +195,36 @@ def test_substrings_empty(empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
-def test_index_over_batches(spark):
-    index = substrings.FingerprintIndex(fan=2)
+def test_index_over_batches(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = substrings.FingerprintIndex(spark, path, fan=2)
     seen, total = {}, set()
     rng = random.Random(3)
-    for _ in range(5):
+    for n in range(6):
         batch = [rng.randrange(40) for _ in range(15)]
         hits = {r["h"] for r in index.add(spark.createDataFrame([(h,) for h in batch], "h long")).collect()}
         assert hits == {h for h in batch if seen.get(h) or batch.count(h) > 1}
         for h in batch:
             seen[h] = seen.get(h, 0) + 1
         total |= hits
+        if n == 3:  # a later application opens it again, past a run that was left unfinished
+            (tmp_path / "index" / "run-000009-000009-8").mkdir()
+            index = substrings.FingerprintIndex(spark, path, fan=2)
+            assert [(a, b) for a, b, _ in index.runs] == [(0, 1), (2, 3)] and index.batches == 4
+    plan = index.runs[0][2].join(index.runs[-1][2].hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert {r["h"] for r in index.repeated().collect()} == {h for h, n in seen.items() if n > 1} == total
     assert len(index.runs) == 1
+    none = substrings.FingerprintIndex(spark)
+    assert none.add(spark.createDataFrame([], "h long")).count() == 0 and none.repeated().count() == 0
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    hashes = np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64)
+    first = np.array([0, 40, 4990, 5000])
+    whole = substrings.anchor_places(hashes, first, 35)
+    monkeypatch.setattr(substrings, "_STEP", 97)
+    assert all((a == b).all() for a, b in zip(whole, substrings.anchor_places(hashes, first, 35)))
 
 
 # -- mix -------------------------------------------------------------------------
