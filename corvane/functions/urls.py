@@ -112,10 +112,10 @@ def with_canonical(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
         "state": F.when(there, F.when(bad, "invalid").when(shortened, "redirect_required").otherwise("unresolved")),
         "reason": F.when(there, F.when(malformed, "malformed_url").when(F.col("_foreign"), "unsupported_url").when(shortened, "redirect_required")),
     }
-    return _settled(d, df.columns, {prefix + name: c for name, c in out.items()})
+    return settled(d, df.columns, {prefix + name: c for name, c in out.items()})
 
 
-def _settled(d: DataFrame, kept: list[str], new: dict[str, Column]) -> DataFrame:
+def settled(d: DataFrame, kept: list[str], new: dict[str, Column]) -> DataFrame:
     """d with the kept columns and the new ones behind a generator, through which the optimizer pushes no filter:
     it would otherwise write the whole derivation out again in every condition on a new column."""
     return d.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(name) for name, c in new.items()]))))
@@ -181,7 +181,7 @@ def with_reference(df: DataFrame, url: str, hosts: Hosts = Hosts()) -> DataFrame
     there = F.col("original_url").isNotNull()
     state = F.when(F.col("_final"), F.col("state")).when(F.col("reference").isNotNull(), "recognized").otherwise("unresolved")
     reason = F.when(F.col("_final"), F.col("reason")).when(F.col("reference").isNotNull(), F.lit(None)).when(F.col("_host").isin(*LINK_HUBS), "link_hub").otherwise("unsupported_target")
-    return _settled(d, df.columns, {"original_url": F.col("original_url"), "canonical_url": F.col("_url"), "state": F.when(there, state), "reason": F.when(there, reason), "reference": F.col("reference")})
+    return settled(d, df.columns, {"original_url": F.col("original_url"), "canonical_url": F.col("_url"), "state": F.when(there, state), "reason": F.when(there, reason), "reference": F.col("reference")})
 
 
 def public_url(url: Column) -> Column:

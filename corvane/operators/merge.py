@@ -63,15 +63,20 @@ def snapshots(log: DataFrame, keys: list[str], content: list[str], order: list[s
 def merged_assets(log: DataFrame) -> DataFrame:
     """Assets by sha256 from assertions (sha256, seq, storage, mime, size, managed).
 
-    A managed row is replaced by managed assertions only; among assertions that may
-    write, the last wins; sizes and types once known are not lost to nulls.
+    Once an asset is managed, only managed assertions write its storage and size;
+    among assertions that may write, the last wins, and a size once known is not
+    lost to a null.  The detected type is the last known one, whoever asserts it.
     """
+    log = log.withColumn("sha256", F.lower("sha256"))
+    since = log.filter("managed").groupBy("sha256").agg(F.min("seq").alias("since"))
+    log = log.join(since, "sha256", "left")
+    writes = F.col("managed") | F.col("since").isNull() | (F.col("seq") < F.col("since"))
     rank = F.struct(F.col("managed").cast("int"), F.col("seq"))
-    return log.groupBy(F.lower("sha256").alias("sha256")).agg(
+    return log.groupBy("sha256").agg(
         F.max_by("storage", rank).alias("storage"),
         F.max("managed").alias("managed"),
         F.max_by("mime", F.when(F.col("mime").isNotNull(), F.col("seq"))).alias("mime"),
-        F.max_by("size", F.when(F.col("size").isNotNull(), F.col("seq"))).alias("size"),
+        F.max_by("size", F.when(F.col("size").isNotNull() & writes, F.col("seq"))).alias("size"),
         F.count(F.lit(1)).alias("assertions"),
     )
 

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsons import digest, variant_map
+from ..functions.urls import settled
 
 #: Variants that a provider with explicit roles knows (fixed values).
 E621_VARIANTS = ("original", "sample", "preview")
 
 
 def with_variants(occurrences: DataFrame) -> DataFrame:
-    """occurrences with ``variants`` (urls, error)."""
-    return occurrences.withColumn("variants", variant_map(F.col("remote_url"), F.col("preview_url"), F.col("variants_json")))
+    """occurrences with ``variants`` (urls, error), derived once, however many conditions use them."""
+    return settled(occurrences, occurrences.columns, {"variants": variant_map(F.col("remote_url"), F.col("preview_url"), F.col("variants_json"))})
 
 
 def planned(selections: DataFrame, occurrences: DataFrame, supported: list[str]) -> DataFrame:
@@ -38,9 +39,15 @@ def planned(selections: DataFrame, occurrences: DataFrame, supported: list[str])
     original = F.coalesce((F.col("url") == F.col("remote_url")) & F.col("variant").isin("primary", "original"), F.lit(False))
     j = j.withColumn("reason", reason).withColumn("original", original)
     claim = lambda c: F.when(F.col("original"), F.lower(c))
-    return j.withColumn("sha256", claim("sha256")).withColumn("md5", claim("md5")).select(
-        "occurrence_id", "variant", "url", "original", "reason", "sha256", "md5", digest(F.col("occurrence_id"), F.col("variant"), F.col("url"), F.col("sha256"), F.col("md5"), F.col("reason")).alias("material")
-    )
+    j = settled(j, ["occurrence_id", "variant", "url", "original", "reason"], {"sha256": claim("sha256"), "md5": claim("md5")})
+    return j.withColumn("material", digest(F.col("occurrence_id"), F.col("variant"), F.col("url"), F.col("sha256"), F.col("md5"), F.col("reason")))
+
+
+def _by_digest(items: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """items with what assets know of their digest.  Most items have none: those don't go to the one task of a null key."""
+    spread = F.coalesce(key, F.concat(F.lit("none:"), F.xxhash64("occurrence_id", "variant").cast("string")))
+    known = assets.withColumnRenamed(key, "_digest")
+    return items.join(known, spread == known["_digest"], "left").drop("_digest")
 
 
 def satisfied(items: DataFrame, completed: DataFrame, assets: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def satisfied(items: DataFrame, completed: DataFrame, assets: DataFrame) -> Data
     done = completed.groupBy("occurrence_id", "variant").agg(F.max_by("asset_id", "seq").alias("by_item"))
     sha = assets.filter("sha256 IS NOT NULL").groupBy(F.lower("sha256").alias("sha256")).agg(F.min("asset_id").alias("by_sha"))
     md5 = assets.filter("md5 IS NOT NULL").groupBy(F.lower("md5").alias("md5")).agg(F.min("asset_id").alias("by_md5"))
-    j = items.join(done, ["occurrence_id", "variant"], "left").join(sha, "sha256", "left").join(md5, "md5", "left")
+    j = _by_digest(_by_digest(items.join(done, ["occurrence_id", "variant"], "left"), sha, "sha256"), md5, "md5")
     return j.withColumn("asset_id", F.coalesce("by_item", F.when(F.col("original"), F.coalesce("by_sha", "by_md5")))).drop("by_item", "by_sha", "by_md5")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import digest
 from ..functions.scores import strength_score
+from ..operators.joins import unordered
 
 
 def link_candidates(links: DataFrame) -> DataFrame:
@@ -31,26 +32,22 @@ def scored(candidates: DataFrame, evidence: DataFrame, key: str, all_stances: bo
 
 
 def merged_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, relation, evidence) -> one row an unordered pair; sourced_from outranks same_work."""
-    u = pairs.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b"))
+    """pairs (a, b, relation, evidence) -> one row an unordered pair, both sides of it known; sourced_from outranks same_work."""
+    u = pairs.select("relation", "evidence", *unordered("a", "b")).filter("low IS NOT NULL")
     rank = F.when(F.col("relation") == "sourced_from", 1).otherwise(0)
     return u.groupBy("low", "high").agg(F.max_by("relation", rank).alias("relation"), F.sum("evidence").alias("evidence"))
 
 
 def reviewed(candidates: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """candidates with state (of the last decision that met the revision it was made for) and revision.
+    """candidates with state (of the last accepted decision) and revision (the number of accepted decisions).
 
-    decisions: key, seq, revision (expected), state.  The n-th accepted decision raises the revision to
-    n, and one with another expectation is stale; expectations rise by one along accepted decisions.
+    decisions: key, seq, revision (expected, or null), state.  Taken in order of seq, a decision is accepted
+    if it expects nothing or the revision it finds; one with another expectation is stale and changes nothing.
+    A candidate's decisions are few (people make them), so they are folded as one array.
     """
-    first = decisions.groupBy(key, "revision").agg(F.min_by(F.struct("seq", "state"), "seq").alias("d"))
-    sets = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("revision", "d"))).alias("ds"))
-    # accepted: expectations 0, 1, 2, ... as long as none is missing and each came after the one before
-    start = F.struct(F.lit(0).cast("long").alias("revision"), F.lit(-1).cast("long").alias("seq"), F.lit("pending").alias("state"))
-    step = lambda a, x: F.when(
-        (x["revision"] == a["revision"]) & (x["d"]["seq"] > a["seq"]),
-        F.struct((a["revision"] + 1).alias("revision"), x["d"]["seq"].cast("long").alias("seq"), x["d"]["state"].alias("state")),
-    ).otherwise(a)
+    sets = decisions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("revision").cast("long").alias("revision"), "state"))).alias("ds"))
+    start = F.struct(F.lit(0).cast("long").alias("revision"), F.lit("pending").alias("state"))
+    step = lambda a, x: F.when(F.coalesce(x["revision"], a["revision"]) == a["revision"], F.struct((a["revision"] + 1).alias("revision"), x["state"].alias("state"))).otherwise(a)
     folded = sets.select(key, F.aggregate("ds", start, step).alias("f"))
     j = candidates.join(folded, key, "left")
     return j.select(*candidates.columns, F.coalesce("f.state", F.lit("pending")).alias("state"), F.coalesce("f.revision", F.lit(0)).alias("revision"))

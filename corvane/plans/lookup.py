@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_term
@@ -37,6 +37,29 @@ def interpretation(kind: Column, strategy: Column, same_source: Column, same_has
     )
 
 
+def executed(pages: DataFrame, key: list[str], limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(pages taken, items) of lookups from the pages that their provider gives, taken in order.
+
+    pages: key, page (from 1), status, results (number), continuation (of the next page, or null).  limits: requests,
+    results.  A page is asked for while the one before it succeeded and went on and the limits aren't used up; of the
+    page that crosses the limit of results all results are kept.  items: key, requests, results, checkpoint (continuation
+    from which a later run resumes) and state: complete, failed, or deferred where a limit ended it.
+    """
+    before = Window.partitionBy(*key).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (F.col("status") == "success") & F.col("continuation").isNotNull()
+    p = pages.withColumn("_open", F.coalesce(F.bool_and(goes_on).over(before), F.lit(True))).withColumn("_had", F.coalesce(F.sum("results").over(before), F.lit(0)))
+    taken = p.filter(F.col("_open") & (F.col("page") <= limits["requests"]) & (F.col("_had") < limits["results"])).drop("_open", "_had")
+    ok = F.col("status") == "success"
+    last = taken.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.coalesce(F.sum(F.when(ok, F.col("results"))), F.lit(0)).alias("results"),
+        F.max_by(F.struct("status", "continuation"), "page").alias("l"),
+        F.max_by(F.struct("continuation"), F.when(ok, F.col("page")))["continuation"].alias("checkpoint"),
+    )
+    state = F.when(F.col("l.status") != "success", "failed").when(F.col("l.continuation").isNull(), "complete").otherwise("deferred")
+    return taken, last.select(*key, "requests", "results", "checkpoint", state.alias("state"))
+
+
 def first_stable_account(attributions: DataFrame) -> DataFrame:
     """attributions (attribution_id, position, reference) -> attribution_id, platform, native_id: its first URL that is a stable account."""
     r = F.col("reference")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import merge
+from ..operators import ledgers, merge
 from . import query
 
 
@@ -168,8 +168,8 @@ def agg18(t):
     "SNK08_asset_merge",
     """WITH a AS (SELECT md5(CAST(l_partkey AS VARCHAR)) AS sha256, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS storage, CASE WHEN l_linestatus = 'O' THEN l_linestatus END AS mime,
       CASE WHEN l_quantity > 10 THEN l_quantity END AS size, l_discount > 0.08 AS managed FROM lineitem)
-    SELECT sha256, arg_max(storage, seq + CASE WHEN managed THEN 1000000000000 ELSE 0 END) AS storage, bool_or(managed) AS managed, arg_max(mime, seq) FILTER (mime IS NOT NULL) AS mime, arg_max(size, seq) FILTER (size IS NOT NULL) AS size, count(*) AS assertions
-    FROM a GROUP BY 1""",
+    SELECT sha256, arg_max(storage, seq + CASE WHEN managed THEN 1000000000000 ELSE 0 END) AS storage, bool_or(managed) AS managed, arg_max(mime, seq) FILTER (mime IS NOT NULL) AS mime, arg_max(size, seq) FILTER (size IS NOT NULL AND (managed OR since IS NULL OR seq < since)) AS size, count(*) AS assertions
+    FROM (SELECT *, min(seq) FILTER (managed) OVER (PARTITION BY sha256) AS since FROM a) GROUP BY 1""",
 )
 def snk08(t):
     log = t.lineitem.select(
@@ -182,18 +182,17 @@ def snk08(t):
 @query("SNK03_outcome_counts", "SELECT o_orderpriority AS entity, count(*) FILTER (o_orderstatus = 'F') AS inserted, count(*) FILTER (o_orderstatus = 'O') AS updated, count(*) FILTER (o_orderstatus = 'P') AS existing FROM orders GROUP BY 1")
 def snk03(t):
     outcome = F.when(F.col("o_orderstatus") == "F", "inserted").when(F.col("o_orderstatus") == "O", "updated").otherwise("existing")
-    wide = t.orders.select(F.col("o_orderpriority").alias("entity"), outcome.alias("outcome")).groupBy("entity").pivot("outcome", ["inserted", "updated", "existing"]).count()
-    return wide.na.fill(0)
+    return ledgers.outcome_counts(t.orders.select(F.col("o_orderpriority").alias("entity"), outcome.alias("outcome")), "entity", "outcome", ["inserted", "updated", "existing"])
 
 
 @query("SNK04_payload_store", "SELECT sha256(text) AS sha256, count(DISTINCT coalesce(source, '')) AS observations, CAST(min(length(text)) AS BIGINT) AS size FROM documents GROUP BY 1")
 def snk04(t):
-    return t.documents.select(F.sha2("text", 256).alias("sha256"), F.coalesce("source", F.lit("")).alias("kind"), F.length("text").cast("long").alias("size")).groupBy("sha256").agg(F.count_distinct("kind").alias("observations"), F.min("size").alias("size"))
+    return ledgers.payload_store(t.documents, "text", "source")
 
 
-@query("SNK09_key_conflicts", "SELECT text, count(DISTINCT lang) AS owners FROM (SELECT left(text, 20) AS text, lang FROM documents) GROUP BY 1 HAVING count(DISTINCT lang) > 1")
+@query("SNK09_key_conflicts", "SELECT n_chars, count(DISTINCT lang) AS owners FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
 def snk09(t):
-    return merge.key_conflicts(t.documents.select(F.substring("text", 1, 20).alias("text"), "lang"), ["text"], "lang").select("text", "owners")
+    return merge.key_conflicts(t.documents.select("n_chars", "lang"), ["n_chars"], "lang").select("n_chars", "owners")
 
 
 @query(

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.urls import public_url
-from ..operators import checks, joins, paging, search
+from ..operators import checks, joins, paging, search, selection
+from ..operators.selection import matching
 from . import query
 
 
-def matching(rows: DataFrame, allowed: tuple[str, ...], **wanted) -> DataFrame:
-    """Equality filters over an allow-list of columns, all of which must hold."""
-    if extra := set(wanted) - set(allowed):
-        raise ValueError(f"unknown filters: {sorted(extra)}")
-    held = [F.col(c) == v for c, v in wanted.items() if v is not None]
-    return rows.filter(reduce(and_, held)) if held else rows
-
-
 @query("FLT01_dynamic_filter", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src1' AND (doc_id = 7 OR n_chars > 1000)")
 def flt01(t):
     return matching(t.documents, ("lang", "source"), lang="en", source="src1").filter((F.col("doc_id") == 7) | (F.col("n_chars") > 1000)).select("doc_id", "lang", "source", "n_chars")
@@ -69,12 +58,12 @@ def flt06(t):
 
 @query("FLT07_retryable", "SELECT event_id, event_type FROM events WHERE value < 10 AND event_type IN ('error', 'click')")
 def flt07(t):
-    return t.events.filter((F.col("value") < 10) & F.col("event_type").isin("error", "click")).select("event_id", "event_type")
+    return selection.retryable(t.events, "event_type", ("error", "click"), "value", 10).select("event_id", "event_type")
 
 
 @query("FLT08_not_in", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
 def flt08(t):
-    return t.events.filter(~F.col("event_type").isin("view", "click", "purchase")).select("event_id", "event_type")
+    return selection.other_than(t.events, "event_type", ("view", "click", "purchase")).select("event_id", "event_type")
 
 
 @query(
@@ -82,25 +71,25 @@ def flt08(t):
     "SELECT 'account' AS kind, c_custkey AS id, c_acctbal AS score FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'post', s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 9000",
 )
 def flt09(t):
-    a = t.customer.select(F.lit("account").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
-    b = t.supplier.select(F.lit("post").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
-    return a.unionByName(b).filter("score > 9000")
+    a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
+    return selection.candidates({"account": a, "post": b}, 9000)
 
 
 @query("FLT10_alias_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_partkey LIMIT 20")
 def flt10(t):
     brand = t.part.agg(F.min("p_brand").alias("p_brand"))
-    return t.part.join(F.broadcast(brand), "p_brand", "left_semi").select("p_partkey", "p_brand", "p_type").orderBy("p_partkey").limit(20)
+    return selection.aliased(t.part, "p_brand", brand).select("p_partkey", "p_brand", "p_type").orderBy("p_partkey").limit(20)
 
 
 @query("FLT11_by_platform", "SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
 def flt11(t):
-    return t.supplier.join(t.nation.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi").select("s_suppkey", "s_name")
+    return selection.aliased(t.supplier, "s_nationkey", t.nation.filter("n_regionkey = 1").select("n_nationkey")).select("s_suppkey", "s_name")
 
 
 @query("FLT12_pending_work", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) LIMIT 30")
 def flt12(t):
-    return t.orders.filter(F.col("o_orderstatus").isin("P", "O")).select("o_orderkey").orderBy(F.col("o_orderkey").cast("string").cast("long")).limit(30)
+    return selection.pending(t.orders.select(F.col("o_orderkey").cast("string").alias("native_id"), "o_orderstatus"), "o_orderstatus", ("P", "O"), "native_id", 30).select(F.col("native_id").cast("long").alias("o_orderkey"))
 
 
 @query(
@@ -108,33 +97,30 @@ def flt12(t):
     r"""SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) WHERE path = '/en' OR starts_with(path, '/en/') OR page_id IN (1, 2, 3)""",
 )
 def flt13(t):
-    p = t.pages.select("page_id", F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return p.filter((F.col("path") == "/en") | F.col("path").startswith("/en/") | F.col("page_id").isin(1, 2, 3))
+    p = t.pages.select("page_id", selection.url_path(F.col("url")).alias("path"))
+    return p.filter(selection.below(F.col("path"), "/en") | F.col("page_id").isin(1, 2, 3))
 
 
 @query("FLT14_by_hash_or_id", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 3) OR doc_id = 5")
 def flt14(t):
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    wanted = d.filter("doc_id = 3").select(F.lower(F.upper("digest")).alias("digest"))
-    return d.join(wanted, "digest", "left_semi").unionByName(d.filter("doc_id = 5")).select("doc_id", "digest").distinct()
+    return selection.by_digest_or_id(d, "digest", d.filter("doc_id = 3").select(F.upper("digest")), "doc_id", (5,))
 
 
 @query(
     "FLT15_nested_document",
     """SELECT c_custkey, c_name, coalesce(o.n, 0) AS n_orders, o.listed FROM customer LEFT JOIN (
-      SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS listed FROM orders GROUP BY 1) o ON o_custkey = c_custkey
-      WHERE c_custkey < 200""",
+      SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS listed FROM orders GROUP BY 1) o ON o_custkey = c_custkey""",
 )
 def flt15(t):
-    nested = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
-    c = t.customer.filter("c_custkey < 200").join(nested, F.col("c_custkey") == F.col("o_custkey"), "left")
+    c = selection.nested(t.customer, "c_custkey", t.orders, "o_custkey", "o_orderkey", ["o_orderstatus"], "orders")
     listed = F.array_join(F.transform("orders", lambda o: F.concat(o["o_orderkey"].cast("string"), F.lit(":"), o["o_orderstatus"])), ",")
-    return c.select("c_custkey", "c_name", F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("n_orders"), F.when(F.col("orders").isNotNull(), listed).alias("listed"))
+    return c.select("c_custkey", "c_name", F.size("orders").cast("long").alias("n_orders"), F.when(F.size("orders") > 0, listed).alias("listed"))
 
 
 @query("FLT16_post_listing", "SELECT l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey = 33 ORDER BY l_linenumber")
 def flt16(t):
-    return t.lineitem.filter("l_orderkey = 33").orderBy("l_linenumber").select("l_linenumber", "l_partkey", "l_quantity")
+    return matching(t.lineitem, ("l_orderkey",), l_orderkey=33).orderBy("l_linenumber").select("l_linenumber", "l_partkey", "l_quantity")
 
 
 @query(
@@ -158,7 +144,8 @@ def flt18(t):
 
 @query("FLT19_public_projection", "SELECT c_custkey AS id, c_name AS label, c_acctbal AS \"limit\", c_acctbal < 0 AS overdrawn, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer")
 def flt19(t):
-    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_acctbal").alias("limit"), (F.col("c_acctbal") < 0).alias("overdrawn"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
+    shown = {"id": F.col("c_custkey"), "label": F.col("c_name"), "limit": F.col("c_acctbal"), "overdrawn": F.col("c_acctbal") < 0, "segment": F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))}
+    return selection.public(t.customer, shown, secrets=("c_phone", "c_comment"))
 
 
 @query("STR07_casefolded_names", "SELECT r_regionkey, lower(r_name) AS name, lower(md5(r_name)) AS digest FROM region")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsons
-from ..operators import merge, search
+from ..operators import ledgers, merge, search
 from ..plans import acquisition, discovery, library
 from ..sources import files, providers, timeline
 from ..streaming import pages
@@ -92,7 +92,7 @@ def snk11(t):
 
 @query("SNK17_run_ledger", "SELECT user_id AS run, count(*) AS requests, arg_max(event_type, event_id) AS status, max(event_id) AS checkpoint FROM events GROUP BY 1")
 def snk17(t):
-    return t.events.groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("requests"), F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("checkpoint"))
+    return ledgers.run_ledger(t.events, "user_id", "event_id", "event_type")
 
 
 @query("SNK21_conflicting_plans", "SELECT o_custkey AS plan, count(DISTINCT o_orderpriority) AS owners FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")

@@ -92,13 +92,29 @@ def pln05(t):
 
 @query(
     "PLN06_merged_pairs",
-    "SELECT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high, max(CASE WHEN l_returnflag = 'R' THEN 'sourced_from' ELSE 'same_work' END) AS relation, CAST(sum(l_linenumber) AS BIGINT) AS evidence FROM lineitem GROUP BY 1, 2",
+    "SELECT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high, max(CASE WHEN l_returnflag = 'R' THEN 'sourced_from' ELSE 'same_work' END) AS relation, CAST(sum(l_linenumber) AS BIGINT) AS evidence FROM lineitem WHERE l_linenumber < 7 GROUP BY 1, 2",
 )
 def pln06(t):
-    p = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.when(F.col("l_returnflag") == "R", "sourced_from").otherwise("same_work").alias("relation"), F.col("l_linenumber").alias("evidence"))
+    p = t.lineitem.select(F.when(F.col("l_linenumber") < 7, F.col("l_partkey")).alias("a"), F.col("l_suppkey").alias("b"), F.when(F.col("l_returnflag") == "R", "sourced_from").otherwise("same_work").alias("relation"), F.col("l_linenumber").alias("evidence"))
     return discovery.merged_pairs(p)
 
 
+@query(
+    "PLN_reviews",
+    """WITH RECURSIVE d AS (
+      SELECT l_orderkey AS candidate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth, CASE WHEN l_quantity < 40 THEN CAST(l_suppkey % 3 AS BIGINT) END AS expected, CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'confirmed' END AS state FROM lineitem
+    ), f AS (
+      SELECT o_orderkey AS candidate, CAST(0 AS BIGINT) AS nth, 'pending' AS state, CAST(0 AS BIGINT) AS revision FROM orders
+      UNION ALL
+      SELECT f.candidate, d.nth, CASE WHEN coalesce(expected, revision) = revision THEN d.state ELSE f.state END, revision + CASE WHEN coalesce(expected, revision) = revision THEN 1 ELSE 0 END FROM f JOIN d ON d.candidate = f.candidate AND d.nth = f.nth + 1
+    ) SELECT candidate, arg_max(state, nth) AS state, max(revision) AS revision FROM f GROUP BY 1""",
+)
+def reviews(t):
+    expected = F.when(F.col("l_quantity") < 40, F.col("l_suppkey") % 3)
+    made = t.lineitem.select(F.col("l_orderkey").alias("candidate"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), expected.alias("revision"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("confirmed").alias("state"))
+    return discovery.reviewed(t.orders.select(F.col("o_orderkey").alias("candidate")), made, "candidate")
+
+
 @query(
     "PLN08_expansion_choices",
     """WITH e AS (SELECT l_orderkey AS seed, 'artist' AS kind, l_suppkey AS id, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS place FROM lineitem), c AS (SELECT DISTINCT seed, kind, id FROM e)

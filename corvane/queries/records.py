@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsons, urls
-from ..operators import checks, joins, merge, search
+from ..operators import checks, joins, ledgers, merge, search
 from ..plans import library, lookup
 from ..sources import providers
 from . import query
@@ -34,9 +34,9 @@ def pln07(t):
     return lookup.first_stable_account(urls.with_reference(found, "url"))
 
 
-@query("PLN24_located_results", "SELECT o_orderkey, c_name AS local FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 1000")
+@query("PLN24_located_results", "SELECT o_orderkey, c_name AS local FROM orders JOIN customer ON c_custkey = o_custkey")
 def pln24(t):
-    results = t.orders.filter("o_orderkey < 1000").select("o_orderkey", "o_custkey")
+    results = t.orders.select("o_orderkey", "o_custkey")
     held = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("local"))
     return lookup.located(results, held, ["o_custkey"], "local").select("o_orderkey", "local")
 
@@ -100,7 +100,7 @@ def snk06(t):
 
 @query("SNK10_once_each", "SELECT DISTINCT l_orderkey AS post, l_suppkey AS account, 'author' AS role FROM lineitem")
 def snk10(t):
-    return t.lineitem.select(F.col("l_orderkey").alias("post"), F.col("l_suppkey").alias("account"), F.lit("author").alias("role")).dropDuplicates(["post", "account", "role"])
+    return t.lineitem.select(F.col("l_orderkey").alias("post"), F.col("l_suppkey").alias("account"), F.lit("author").alias("role")).transform(ledgers.once, ["post", "account", "role"])
 
 
 @query("SNK12_metadata_observations", "SELECT user_id, v, min(event_id) AS first_id FROM (SELECT user_id, event_id, CAST(floor(value / 10) AS BIGINT) AS v FROM events) GROUP BY 1, 2")
@@ -116,15 +116,13 @@ def snk16(t):
 
 @query("SNK19_item_ledger", "SELECT l_orderkey AS run, l_partkey AS item, max(l_linenumber) AS attempts, arg_max(l_returnflag, l_linenumber * 100000 + l_suppkey) AS outcome FROM lineitem GROUP BY 1, 2")
 def snk19(t):
-    g = t.lineitem.groupBy(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("item"))
-    return g.agg(F.max("l_linenumber").alias("attempts"), F.max_by("l_returnflag", F.struct("l_linenumber", "l_suppkey")).alias("outcome"))
+    return ledgers.item_ledger(t.lineitem, "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_suppkey")
 
 
 @query("SNK22_parents_first", "SELECT n_nationkey AS child, n_regionkey AS parent, FALSE AS stub FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_nationkey, n_regionkey, TRUE FROM nation WHERE n_regionkey >= 3")
 def snk22(t):
-    held = t.region.filter("r_regionkey < 3").select(F.col("r_regionkey").alias("parent"), F.lit(False).alias("stub"))
-    rows = t.nation.select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent"))
-    return rows.join(held, "parent", "left").select("child", "parent", F.coalesce("stub", F.lit(True)).alias("stub"))
+    held = t.region.filter("r_regionkey < 3").select(F.col("r_regionkey").alias("parent"))
+    return ledgers.with_stubs(t.nation.select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")), held, "parent").select("child", "parent", "stub")
 
 
 @query("SNK29_search_table", "SELECT o_custkey, string_agg(DISTINCT lower(o_orderpriority), ' ' ORDER BY lower(o_orderpriority)) AS words FROM orders GROUP BY 1")
@@ -134,17 +132,14 @@ def snk29(t):
 
 @query("STM06_details_required", "SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS details_required FROM orders")
 def stm06(t):
-    media = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(False).alias("held")).distinct()
-    return t.orders.join(media, "o_orderkey", "left").select("o_orderkey", F.coalesce("held", F.lit(True)).alias("details_required"))
+    media = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ledgers.details_required(t.orders, media, "o_orderkey").select("o_orderkey", "details_required")
 
 
 @query("PLN15_adoption_outcomes", "SELECT CASE WHEN n_chars > 4000 THEN 'limit_exceeded' WHEN doc_id % 5 = 0 THEN 'missing' WHEN c > 1 THEN 'existing' ELSE 'adopted' END AS outcome, count(*) AS n FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS c FROM documents) GROUP BY 1")
 def pln15(t):
-    from pyspark.sql import Window
-
-    d = t.documents.select("doc_id", "n_chars", F.md5("text").alias("h")).withColumn("c", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
-    outcome = F.when(F.col("n_chars") > 4000, "limit_exceeded").when(F.col("doc_id") % 5 == 0, "missing").when(F.col("c") > 1, "existing").otherwise("adopted")
-    return d.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    d = t.documents.select("doc_id", "n_chars", F.md5("text").alias("h"))
+    return ledgers.adoption_outcomes(d, "doc_id", "n_chars", "h", 4000, F.col("doc_id") % 5 == 0).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("JOI_exclusive_targets", "SELECT CAST(o_orderkey AS VARCHAR) AS key, 'one target' AS rule FROM orders WHERE (o_orderkey % 3 = 0) = (o_orderkey % 2 = 0)")

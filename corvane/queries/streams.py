@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merge
+from ..operators import ledgers, merge
 from ..streaming import pages
 from . import query
 
@@ -38,8 +38,7 @@ def stm07(t):
 @query("STM08_duplicate_delivery", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def stm08(t):
     twice = t.events.unionByName(t.events)
-    digest = F.sha2(F.to_json(F.struct("event_id", "user_id", "event_type", "value")), 256)
-    return twice.withColumn("digest", digest).dropDuplicates(["digest"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return ledgers.delivered_once(twice, ["event_id", "user_id", "event_type", "value"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("STM11_recovered_runs", "SELECT user_id, CASE WHEN t IN ('view', 'click') THEN 'interrupted' ELSE t END AS state FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1)")

@@ -76,6 +76,65 @@ def pixiv(pages: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+_PIXIV_USER = "struct<user: struct<id: bigint, account: string, name: string, comment: string, is_valid: boolean, profile_image_urls: struct<medium: string>>, profile: struct<comment: string, webpage: string, twitter_url: string, is_valid: boolean, total_follow_users: bigint, total_following: bigint, total_illusts: bigint, background_image_url: string>>"
+_PIXIV_FRAMES = "struct<ugoira_metadata: struct<zip_urls: struct<original: string, medium: string, large: string>, frames: array<struct<file: string, delay: bigint>>>>"
+
+
+def _gone(status: Column, message: Column) -> Column:
+    """What a 404 or 410 means: deleted if it says so, else unavailable."""
+    return F.when((status == 410) | F.lower(F.coalesce(message, F.lit(""))).contains("deleted"), "deleted").otherwise("unavailable")
+
+
+def pixiv_accounts(pages: DataFrame) -> dict[str, DataFrame]:
+    """pages (requested, status, body: one profile) -> accounts, links.
+
+    A page without a user is a gone account if its status is 404 or 410; else, or if the user isn't the requested one, the job stops.
+    """
+    p = pages.select("requested", "status", F.from_json("body", _PIXIV_USER).alias("b")).select("requested", "status", "b.*")
+    missing = F.col("user.id").isNull()
+    wrong = (missing & ~F.col("status").isin(404, 410)) | (~missing & (F.col("user.id").cast("string") != F.col("requested")))
+    native = F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("a profile isn't that of the requested account"))).otherwise(F.col("requested"))
+    valid = F.coalesce("user.is_valid", F.lit(True)) & F.coalesce("profile.is_valid", F.lit(True))
+    availability = F.when(missing, F.when(F.col("status") == 410, "deleted").otherwise("unavailable")).when(valid, "available").otherwise("unavailable")
+    positive = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    accounts = p.select(
+        native.alias("native_id"), availability.alias("availability"), F.col("user.account").alias("handle"), F.col("user.name").alias("display_name"), F.coalesce("profile.comment", "user.comment").alias("bio"),
+        F.col("user.profile_image_urls.medium").alias("avatar_url"), F.col("profile.background_image_url").alias("banner_url"),
+        positive("profile.total_follow_users").alias("followers"), positive("profile.total_following").alias("following"), positive("profile.total_illusts").alias("artworks"),
+    )
+    found = F.array(F.struct(F.lit("account.website").alias("context"), F.col("profile.webpage").alias("url")), F.struct(F.lit("account.social").alias("context"), F.col("profile.twitter_url").alias("url")))
+    links = p.filter(~missing).select(F.col("requested").alias("native_id"), F.posexplode(found).alias("position", "l")).select("native_id", "position", "l.*")
+    links = links.filter(F.col("url").rlike("^https?://")).groupBy("native_id", "url").agg(F.min_by("context", "position").alias("context"))
+    return {"accounts": accounts, "links": links}
+
+
+def pixiv_listing(pages: DataFrame) -> DataFrame:
+    """pages (body: illusts and next_url) -> post, position, title, type, canonical_url, continuation (the offset that follows, if any)."""
+    p = pages.select(F.from_json("body", "struct<illusts: array<struct<id: bigint, title: string, type: string>>, next_url: string>", {"mode": "FAILFAST"}).alias("b"))
+    p = p.select(F.coalesce("b.illusts", F.raise_error(F.lit("a listing has no illusts")).cast("array<struct<id:bigint,title:string,type:string>>")).alias("illusts"), F.nullif(F.regexp_extract("b.next_url", r"[?&]offset=(\d+)", 1), F.lit("")).alias("continuation"))
+    p = p.select(F.posexplode("illusts").alias("position", "i"), "continuation")
+    post = F.col("i.id").cast("string")
+    return p.select(post.alias("post"), "position", "i.title", "i.type", F.concat(F.lit("https://www.pixiv.net/artworks/"), post).alias("canonical_url"), "continuation")
+
+
+def pixiv_ugoira(pages: DataFrame) -> dict[str, DataFrame]:
+    """pages (post, status, body: a moving work) -> posts, media (its archive), frames (file and delay of each, in order).
+
+    Without metadata a 404 or 410 is a gone work; anything else stops the job, as do a missing archive and a frame without a file or a delay.
+    """
+    p = pages.select("post", "status", F.get_json_object("body", "$.error.message").alias("message"), F.from_json("body", _PIXIV_FRAMES).alias("b")).select("post", "status", "message", "b.ugoira_metadata.*")
+    gone = F.col("zip_urls").isNull() & F.col("frames").isNull() & F.col("status").isin(404, 410)
+    archive = F.coalesce("zip_urls.original", "zip_urls.medium", "zip_urls.large")
+    sound = archive.isNotNull() & F.col("frames").isNotNull() & F.forall("frames", lambda f: f["file"].isNotNull() & (F.coalesce(f["delay"], F.lit(0)) > 0))
+    p = p.withColumn("gone", F.coalesce(gone, F.lit(False))).withColumn("archive", F.when(F.col("gone"), None).when(F.coalesce(sound, F.lit(False)), archive).otherwise(F.raise_error(F.lit("a moving work's metadata is malformed"))))
+    live = p.filter(~F.col("gone"))
+    return {
+        "posts": p.select("post", F.when(F.col("gone"), _gone(F.col("status"), F.col("message"))).otherwise("available").alias("availability"), F.concat(F.lit("https://www.pixiv.net/artworks/"), "post").alias("canonical_url")),
+        "media": live.select("post", F.concat("post", F.lit(":ugoira")).alias("source_key"), F.lit("application/zip").alias("media_type"), F.col("archive").alias("remote_url"), _roles(archive=F.col("archive")).alias("variants_json")),
+        "frames": live.select("post", F.posexplode("frames").alias("position", "f")).select("post", "position", "f.file", F.col("f.delay").alias("delay_ms")),
+    }
+
+
 def status_metadata(pages: DataFrame) -> DataFrame:
     """pages (body) of a public metadata service -> post_id, text, author, available, images; ``tweet`` stands in for ``status``."""
     inner = "struct<id: string, text: string, type: string, author: struct<id: string, screen_name: string, name: string>, media: struct<photos: array<struct<url: string, width: bigint, height: bigint>>>>"
