@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .stages import settled
+
 MAX_VARIANTS_BYTES = 1 << 20
 _VARIANTS = "variants array<struct<role:string,url:string>>, archive struct<url:string>"
 
@@ -23,30 +25,44 @@ def is_object(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def variant_map(remote: Column, preview: Column, document: Column) -> Column:
-    """urls (role to URL) and error (null, invalid_variants or ambiguous_variant).
+_ROLES = "array<struct<role:string,url:string>>"
+
+
+def with_variants(df: DataFrame, remote: str = "remote_url", preview: str = "preview_url", document: str = "variants_json", name: str = "variants") -> DataFrame:
+    """df with urls (role to URL) and error (null, invalid_variants or ambiguous_variant) in a struct.
 
     primary and preview come from the columns, further roles from the document's
     variants; an archive stands in for a missing archive or primary.  After an error
-    only the columns' roles count.
+    only the columns' roles count.  The document is parsed once: every stage is settled
+    before the next one uses it.
     """
+    kept, doc = df.columns, F.col(document)
     filled = lambda c: c.isNotNull() & (c != "")
     entry = lambda role, url: F.struct(F.lit(role).alias("role"), url.alias("url"))
-    base = F.filter(F.array(F.when(filled(remote), entry("primary", remote)), F.when(filled(preview), entry("preview", preview))), lambda e: e.isNotNull())
-    held = F.from_json(document, _VARIANTS)
-    listed = F.coalesce(held["variants"], F.array().cast("array<struct<role:string,url:string>>"))
-    raw = F.try_variant_get(F.try_parse_json(document), "$.variants", "variant")
-    wrong = ~is_object(document) | (F.octet_length(document) > MAX_VARIANTS_BYTES)
-    wrong = wrong | (raw.isNotNull() & ~F.coalesce(F.schema_of_variant(raw).rlike("^(ARRAY|VOID)"), F.lit(False)))
-    wrong = wrong | F.exists(listed, lambda e: e.isNull() | e["role"].isNull() | (e["role"] == "") | e["url"].isNull() | (e["url"] == ""))
-    every = F.array_distinct(F.concat(base, F.when(wrong, F.array().cast("array<struct<role:string,url:string>>")).otherwise(listed)))
-    clash = F.size(F.array_distinct(F.transform(every, lambda e: e["role"]))) < F.size(every)
-    first = F.aggregate(every, F.array().cast("array<struct<role:string,url:string>>"), lambda acc, e: F.when(F.exists(acc, lambda a: a["role"] == e["role"]), acc).otherwise(F.concat(acc, F.array(e))))
-    archive = held["archive"]["url"]
-    spare = F.filter(F.array(*[F.when(archive.isNotNull(), entry(r, archive)) for r in ("archive", "primary")]), lambda e: e.isNotNull() & ~F.exists(first, lambda a: a["role"] == e["role"]))
-    whole = F.concat(first, F.when(document.isNotNull() & ~wrong & ~clash, spare).otherwise(F.array().cast("array<struct<role:string,url:string>>")))
-    error = F.when(document.isNull(), F.lit(None)).when(wrong, "invalid_variants").when(clash, "ambiguous_variant")
-    return F.struct(F.map_from_entries(whole).alias("urls"), error.alias("error"))
+    none = F.array().cast(_ROLES)
+    d = settled(df, kept, {"_held": F.from_json(doc, _VARIANTS), "_whole": F.try_parse_json(doc)})
+    d = settled(
+        d,
+        kept,
+        {
+            "_base": F.filter(F.array(F.when(filled(F.col(remote)), entry("primary", F.col(remote))), F.when(filled(F.col(preview)), entry("preview", F.col(preview)))), lambda e: e.isNotNull()),
+            "_listed": F.coalesce("_held.variants", none),
+            "_archive": F.col("_held.archive.url"),
+            "_object": F.coalesce(F.schema_of_variant("_whole").startswith("OBJECT"), F.lit(False)),
+            "_raw": F.schema_of_variant(F.try_variant_get("_whole", "$.variants", "variant")),
+        },
+    )
+    wrong = ~F.col("_object") | (F.octet_length(doc) > MAX_VARIANTS_BYTES) | (F.col("_raw").isNotNull() & ~F.col("_raw").rlike("^(ARRAY|VOID)"))
+    wrong = wrong | F.exists("_listed", lambda e: e.isNull() | e["role"].isNull() | (e["role"] == "") | e["url"].isNull() | (e["url"] == ""))
+    kept2 = [*kept, "_base", "_listed", "_archive"]
+    d = settled(d, kept2, {"_wrong": wrong})
+    d = settled(d, [*kept, "_archive", "_wrong"], {"_every": F.array_distinct(F.concat("_base", F.when(F.col("_wrong"), none).otherwise(F.col("_listed"))))})
+    taken = lambda acc, e: F.when(F.exists(acc, lambda a: a["role"] == e["role"]), acc).otherwise(F.concat(acc, F.array(e)))
+    d = settled(d, [*kept, "_archive", "_wrong"], {"_clash": F.size(F.array_distinct(F.transform("_every", lambda e: e["role"]))) < F.size("_every"), "_first": F.aggregate("_every", none, taken)})
+    spare = F.filter(F.array(*[F.when(F.col("_archive").isNotNull(), entry(r, F.col("_archive"))) for r in ("archive", "primary")]), lambda e: e.isNotNull() & ~F.exists("_first", lambda a: a["role"] == e["role"]))
+    whole = F.concat("_first", F.when(doc.isNotNull() & ~F.col("_wrong") & ~F.col("_clash"), spare).otherwise(none))
+    error = F.when(doc.isNull(), F.lit(None)).when(F.col("_wrong"), "invalid_variants").when(F.col("_clash"), "ambiguous_variant")
+    return settled(d, kept, {name: F.struct(F.map_from_entries(whole).alias("urls"), error.alias("error"))})
 
 
 def shown_roles(urls: Column, most: int = 100) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import settled
+
 # Fixed values.
 URL = r"((?i:https?)://[^\s<>\]\[(){}\"']+)"
 TRAILING = ".,;:!?"
@@ -115,12 +117,6 @@ def with_canonical(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     return settled(d, df.columns, {prefix + name: c for name, c in out.items()})
 
 
-def settled(d: DataFrame, kept: list[str], new: dict[str, Column]) -> DataFrame:
-    """d with the kept columns and the new ones behind a generator, through which the optimizer pushes no filter:
-    it would otherwise write the whole derivation out again in every condition on a new column."""
-    return d.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(name) for name, c in new.items()]))))
-
-
 _FIELDS = ("platform", "instance_host", "object_kind", "native_id", "identifier_kind", "target", "recognizer")
 
 

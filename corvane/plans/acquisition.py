@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsons import digest, variant_map
-from ..functions.urls import settled
+from ..functions.jsons import digest, with_variants
+from ..functions.stages import settled
 
 #: Variants that a provider with explicit roles knows (fixed values).
 E621_VARIANTS = ("original", "sample", "preview")
 
 
-def with_variants(occurrences: DataFrame) -> DataFrame:
-    """occurrences with ``variants`` (urls, error), derived once, however many conditions use them."""
-    return settled(occurrences, occurrences.columns, {"variants": variant_map(F.col("remote_url"), F.col("preview_url"), F.col("variants_json"))})
-
-
 def planned(selections: DataFrame, occurrences: DataFrame, supported: list[str]) -> DataFrame:
     """selections (occurrence_id, variant) -> occurrence_id, variant, url, original, reason, material.
 

@@ -188,8 +188,8 @@ def jsn01(t):
     k = F.col("o_orderkey")
     url = F.concat(F.lit("u"), k.cast("string"))
     doc = F.when(k % 4 == 0, '{"variants":[{"role":"original","url":"o"}]}').when(k % 4 == 1, "[1]").when(k % 4 == 2, '{"variants":[{"role":"primary","url":"z"}]}').otherwise('{"archive":{"url":"z"}}')
-    v = t.orders.select("o_orderkey", jsons.variant_map(url, F.lit(None).cast("string"), doc).alias("v"))
-    return v.select("o_orderkey", "v.error", F.array_join(jsons.shown_roles(F.col("v.urls"))["roles"], ",").alias("roles"))
+    v = jsons.with_variants(t.orders.select("o_orderkey", url.alias("remote_url"), F.lit(None).cast("string").alias("preview_url"), doc.alias("variants_json")))
+    return v.select("o_orderkey", "variants.error", F.array_join(jsons.shown_roles(F.col("variants.urls"))["roles"], ",").alias("roles"))
 
 
 @query("JSN03_payload_links", "SELECT event_id, 'https://h/' || event_id AS url, ['post.entity', 'post.quote', 'post.source'][i + 1] AS context, ['$.tweet.entities.urls[0].expanded_url', '$.quoted_tweet.card[1].url', '$.data[0].source'][i + 1] AS json_path FROM events, range(3) r(i)")

@@ -63,7 +63,7 @@ def test_variants(spark):
         ("a", None, '{"variants":[{"role":"original","url":null}]}', {"primary": "a"}, "invalid_variants"),
     ]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, r string, p string, d string")
-    got = df.select("i", jsons.variant_map(F.col("r"), F.col("p"), F.col("d")).alias("v")).orderBy("i").collect()
+    got = jsons.with_variants(df, "r", "p", "d", "v").select("i", "v").orderBy("i").collect()
     assert [(r["v"]["urls"], r["v"]["error"]) for r in got] == [(r[3], r[4]) for r in rows]
 
 
