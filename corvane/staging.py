@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset."""
+    """spark.checkpoint.dir of the session; a local folder only in local mode where that is unset."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
