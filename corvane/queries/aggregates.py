@@ -70,10 +70,10 @@ def agg07(t):
     return t.documents.select("lang", F.nullif(F.col("source"), F.lit("src0")).alias("k")).groupBy("lang").agg(F.count(F.lit(1)).alias("assertions"), F.count_if(F.col("k").isNull()).alias("without_hash"))
 
 
-@query("AGG08_min_flag", "SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS details_required, count(DISTINCT l_suppkey) AS executions FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 101")
+@query("AGG08_min_flag", "SELECT l_orderkey, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS details_required, count(DISTINCT l_suppkey) AS executions FROM lineitem GROUP BY 1")
 def agg08(t):
     g = t.lineitem.groupBy("l_orderkey").agg(F.min((F.col("l_returnflag") == "R").cast("int")).alias("details_required"), F.count_distinct("l_suppkey").alias("executions"))
-    return g.orderBy("l_orderkey").limit(101)
+    return g
 
 
 @query(

@@ -76,10 +76,10 @@ def flt09(t):
     return selection.candidates({"account": a, "post": b}, 9000)
 
 
-@query("FLT10_alias_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_partkey LIMIT 20")
+@query("FLT10_alias_filter", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
 def flt10(t):
     brand = t.part.agg(F.min("p_brand").alias("p_brand"))
-    return selection.aliased(t.part, "p_brand", brand).select("p_partkey", "p_brand", "p_type").orderBy("p_partkey").limit(20)
+    return selection.aliased(t.part, "p_brand", brand).select("p_partkey", "p_brand", "p_type")
 
 
 @query("FLT11_by_platform", "SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
