@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import aggregates, columns, filters, imports, joins, more, plans, records, sources, streams, windows  # noqa: F401
+    from . import aggregates, columns, execution, filters, imports, joins, more, plans, records, sources, streams, windows  # noqa: F401
