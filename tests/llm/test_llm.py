@@ -354,6 +354,37 @@ def test_prefixes_append_and_edit(coder):
         assert p.last == bpe.Prefixes(coder.vocabulary, p.data).last
 
 
+def test_bpe_distinct_pieces_once(coder, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeinstré漢1.\n") for _ in range(rng.randrange(1, 14)))
+    own = [word() for _ in range(3000)] + ["long" * 200, "é" * 90, "\n", "'s"]
+    texts = [" ".join(rng.choice(own) for _ in range(rng.randrange(60))) for _ in range(400)] + [None, "", " ", "\n \n", " \t a \n b \t "]
+    seen = []
+    many = bpe.Vocabulary.many
+    monkeypatch.setattr(bpe.Vocabulary, "many", lambda v, data, starts, sizes: seen.append(len(starts)) or many(v, data, starts, sizes))
+    ids, offs = coder.encode_all(pa.array(texts))
+    pieces = [coder.find(t or "") for t in texts]
+    # one call, however often a piece stands in the texts
+    assert seen == [len({p for row in pieces for p in row})]
+    want = [[i for p in row for i in coder.vocabulary.tokens(p.encode())] for row in pieces]
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == want
+    assert [coder.decode(w).decode() for w in want] == [t or "" for t in texts]
+
+
+def test_bpe_small_tables(coder, monkeypatch):
+    """Pairs that take each other's places, and pieces in several blocks, give the same ids."""
+    pieces = [("ab" * i + "thing" + "é" * (i % 3)).encode() for i in range(1, 60)]
+    starts = np.cumsum([0, *map(len, pieces)])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    monkeypatch.setattr(bpe, "PAIRS", 2)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    ids, counts = bpe.Vocabulary(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))).many(data, starts[:-1], np.diff(starts))
+    assert np.split(ids, np.cumsum(counts)[:-1])[40].tolist() == coder.vocabulary.tokens(pieces[40])
+    assert ids.tolist() == [i for p in pieces for i in coder.vocabulary.tokens(p)]
+
+
 def test_bpe_table(docs, empty, coder):
     path = P.path("byte_bpe_50k.tiktoken")
     got = bpe.round_trip(docs, path, P.PATTERN).collect()
