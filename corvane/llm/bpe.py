@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, text_bytes
+from .common import mapped, ship, slices, text_bytes
 
 #: White space as tokenizer patterns mean it: the Unicode property White_Space (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -436,7 +436,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> D
             for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(own, *own.encode_all(part.column("text")))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -462,7 +462,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
             texts = [own.decode(ids or []).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -77,6 +78,27 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow, after which a worker gives back what it has freed: Spark keeps workers, and their memory counts beside later stages'."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Returns memory that is free, but held by this process' allocators, to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -246,14 +268,14 @@ def sample_texts(docs: DataFrame, ids: DataFrame, group: str, most_rows: int) ->
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    held = ids.limit(most_rows + 1).collect()
-    if len(held) > most_rows:
+    held = ids.limit(most_rows + 1).toArrow()
+    if held.num_rows > most_rows:
         share = max(1, most_rows // ids.select(group).distinct().count())
         nth = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("id"), "id"))
-        held = ids.withColumn("nth", nth).filter(F.col("nth") <= share).drop("nth").collect()
-    if not held:
+        held = ids.withColumn("nth", nth).filter(F.col("nth") <= share).drop("nth").toArrow()
+    if not held.num_rows:
         return []
-    small = docs.sparkSession.createDataFrame(held, ids.schema)
+    small = docs.sparkSession.createDataFrame(held, ids.schema)  # of Arrow: rows would start Python workers on all executors
     got = docs.join(F.broadcast(small), "id").groupBy("id", group).agg(F.max("text").alias("text")).collect()
     return [(r["text"] or "", r[group]) for r in sorted(got, key=lambda r: (r["id"], str(r[group])))]
 

@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, coded_words, mix, row_hash, run_hashes, ship, slices, staged, text_bytes, words
+from .common import LOWER, coded_words, mapped, mix, row_hash, run_hashes, ship, slices, staged, text_bytes, words
 
 ROWS, BITS, MISS, SIGMAS = 5, 4, 1e-6, 5.0
 SMALL, BLOCK = 8, 512
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t1"), part.column("t2"), *_signature_columns(part, k, bands)], names=["id", "t1", "t2", "c", "n", "bands", "sig"])
 
-    return docs.select("id", "t1", "t2", "text").mapInArrow(run, "id long, t1 long, t2 long, c binary, n long, bands array<long>, sig array<long>")
+    return mapped(docs.select("id", "t1", "t2", "text"), run, "id long, t1 long, t2 long, c binary, n long, bands array<long>, sig array<long>")
 
 
 def full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -162,7 +162,7 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("c"), pa.array([np.sort(h[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["c", "items"])
 
-    return texts.select("c", "text").mapInArrow(run, "c binary, items binary")
+    return mapped(texts.select("c", "text"), run, "c binary, items binary")
 
 
 def word_runs(text: str, k: int) -> set[tuple[bytes, ...]]:
@@ -328,7 +328,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, sure: b
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
     of = lambda name: texts.select(F.col("c").alias(name), F.col("text").alias(f"text_{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return mapped(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, runs, sample_texts, sampled_ids, ship, slices, sums, text_bytes
+from .common import IS_SPACE, LOWER, mapped, runs, sample_texts, sampled_ids, ship, slices, sums, text_bytes
 
 PER_GRADE, MOST_ROWS = 1500, 12_000
 BITS = 15
@@ -35,6 +35,8 @@ SHAPE[ord("A") : ord("Z") + 1] = ord("A")
 SHAPE[ord("0") : ord("9") + 1] = ord("0")
 #: Bytes added to every length, so that a few odd bytes weigh little in a very short text.
 DAMP = 40
+#: Bytes of text scored at once: a worker's arrays take some forty times as much.
+SLICE = 1 << 18
 #: A text is kept if it reaches the passing grade with at least this probability.
 KEEP = 0.4
 
@@ -143,11 +145,11 @@ def graded(docs: DataFrame, model: dict, passing: int = 1, carry: str | None = N
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 expected, tail = grade(*text_bytes(part.column("text")), model, passing)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(expected), pa.array(tail)], names=["id", "expected_grade", "tail"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, expected_grade double, tail double")
+    return mapped(docs.select("id", "text"), run, "id long, expected_grade double, tail double")
 
 
 def selected(docs: DataFrame, text_col: str, model: dict, passing: int = 1, keep: float = KEEP) -> DataFrame:
@@ -160,12 +162,12 @@ def selected(docs: DataFrame, text_col: str, model: dict, passing: int = 1, keep
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            for part in slices(pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))]), f"c{at}"):
+            for part in slices(pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(names))]), f"c{at}", SLICE):
                 _, tail = grade(*text_bytes(part.column(at)), model, passing)
                 kept = part.filter(pa.array(tail >= keep))
                 yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, most_rows: int = MOST_ROWS) -> dict:

@@ -434,6 +434,38 @@ def test_viterbi_is_best_path():
             assert abs(value(list(path[a:b])) - best) < 1e-4
 
 
+def test_sampling_starts_no_python_workers(spark, monkeypatch):
+    from corvane.llm.common import sample_texts
+
+    docs = spark.range(40).select("id", F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("int").alias("grade"))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)  # its rows go through Python on all executors
+    want = [(f"t{i}", i % 4 or None) for i in range(40)]
+    assert sample_texts(docs.select("id", "text"), docs.select("id", "grade"), "grade", 50) == want
+    assert len(sample_texts(docs.select("id", "text"), docs.select("id", "grade"), "grade", 20)) == 20
+    assert sample_texts(docs.select("id", "text"), docs.select("id", "grade").limit(0), "grade", 20) == []
+
+
+def test_workers_give_back_memory():
+    from pathlib import Path
+
+    from corvane.llm.common import mapped
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    held, resident = [], lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    def run(batches):
+        blocks = [np.ones(64 << 10, np.uint8) for _ in range(4000)]
+        held.append(blocks[-1])  # above the others, which the allocator keeps for it
+        yield from batches
+
+    before = resident()
+    assert list(mapped(Frame(), run, "id long")(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 130
+
+
 def test_many_groups_share_the_sample(spark):
     from corvane.llm.common import sample_texts
 
