@@ -36,7 +36,7 @@ from .common import mapped, ship, slices, text_bytes
 #: White space as tokenizer patterns mean it: the Unicode property White_Space (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Bytes of text encoded at once, and chunks or pieces dealt out or encoded at once.
-SLICE, BLOCK = 1 << 21, 1 << 18
+SLICE, BLOCK = 1 << 20, 1 << 18
 #: Pairs of tokens known at most (a power of two), and how many pieces of a slice, the longest ones, are encoded one by one.
 PAIRS, FEW = 1 << 18, 32
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
