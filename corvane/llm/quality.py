@@ -41,13 +41,20 @@ SLICE = 1 << 18
 KEEP = 0.4
 
 
-def hashed(body: np.ndarray) -> list[np.ndarray]:
-    """For each byte, its two features: the shape string and the byte string that begin there."""
+def hashed(body: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """For each byte, its two features: the shape string and the byte string that begin there.  Zeros follow a row's last byte."""
     shape, low = SHAPE[body].astype(np.uint32), LOWER[body].astype(np.uint32)
-    shape, low = np.r_[shape, np.zeros(3, np.uint32)], np.r_[low, np.zeros(3, np.uint32)]
-    n = len(body)
-    four = shape[:n] | (shape[1 : n + 1] << np.uint32(8)) | (shape[2 : n + 2] << np.uint32(16)) | (shape[3 : n + 3] << np.uint32(24))
-    three = low[:n] | (low[1 : n + 1] << np.uint32(8)) | (low[2 : n + 2] << np.uint32(16))
+    ends = offs[1:]
+
+    def later(values: np.ndarray, j: int) -> np.ndarray:
+        out = np.zeros(len(values), np.uint32)
+        out[: max(0, len(values) - j)] = values[j:]
+        for i in range(1, j + 1):
+            out[ends[ends >= i] - i] = 0
+        return out << np.uint32(8 * j)
+
+    four = shape | later(shape, 1) | later(shape, 2) | later(shape, 3)
+    three = low | later(low, 1) | later(low, 2)
     shift = np.uint32(32 - BITS)
     return [(four * np.uint32(2654435761)) >> shift, ((three * np.uint32(2246822519)) >> shift) + np.uint32(1 << BITS)]
 
@@ -86,7 +93,7 @@ def train(samples: list[tuple[str, object]], rounds: int = 300, rate: float = 0.
     for i, (text, _) in enumerate(samples):
         body = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         if len(body):
-            ids, counts = np.unique(np.concatenate(hashed(body)), return_counts=True)
+            ids, counts = np.unique(np.concatenate(hashed(body, np.array([0, len(body)]))), return_counts=True)
             same, _, count = repeats(body, np.array([0, len(body)]))
             again = same.sum() / (count[0] + 4)
             index.append(np.r_[ids, FEATURES - 2, FEATURES - 1])
@@ -126,7 +133,7 @@ def grade(body: np.ndarray, offs: np.ndarray, model: dict, passing: int) -> tupl
         return np.full(n, grades[0]), np.ones(n)
     z = np.zeros(n)
     if len(body):
-        for h in hashed(body):
+        for h in hashed(body, offs):
             z += sums(model["weights"][h], offs)
     z /= np.diff(offs) + DAMP
     same, first, count = repeats(body, offs)

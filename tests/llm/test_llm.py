@@ -518,6 +518,16 @@ def test_toxicity_learns_from_known_labels_only(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, model).collect())
 
 
+def test_quality_of_a_text_ignores_its_neighbours():
+    texts = ["plain words", "", "a", "LOUD!!", "xy", "", "more plain words", "9"]
+    rng = np.random.default_rng(3)
+    model = {"grades": [0, 1, 2], "weights": rng.normal(0, 9, quality.FEATURES).astype(np.float32), "thresholds": np.array([-1.0, 1.0])}
+    bodies = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    together = quality.grade(np.concatenate(bodies), np.cumsum([0, *map(len, bodies)]), model, 1)
+    alone = [quality.grade(b, np.array([0, len(b)]), model, 1) for b in bodies]
+    assert np.allclose(together, np.array(alone)[:, :, 0].T, atol=1e-6)
+
+
 def test_quality_orders_grades(spark):
     rng = random.Random(10)
     good = lambda: " ".join(rng.choice(["plain", "words", "here"]) for _ in range(40))
